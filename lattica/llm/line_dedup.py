@@ -13,6 +13,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import connected_components, split_lines, stored
@@ -20,66 +21,56 @@ from lattica.llm.common import connected_components, split_lines, stored
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MIN_WORDS = 5
+#: Ids of lines (8 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 SIMILARITY = 0.8
 
 _LANES = 0x0001000100010001
-_HALF = 16384
+#: Words that the 16-bit lanes can count.
+MOST_WORDS = 16_383
+_MARKS = "".join(chr(c) for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]) + "\t\r\u00a0«»“”‘’…–—¿¡"
 
 
 def normalised(line: Column) -> Column:
-    """Lower-cased letters and digits, with a space for whatever stands between them."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
-
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words: a bit is set if more than half of the words' hashes have it.
-
-    Sixteen sums of four 16-bit lanes count the 64 bits.  Half of the words' number is added in
-    each lane such that the lane's top bit tells a majority, so ``words`` has at most 16,383 entries.
-    """
-
-    def lane(k: int):
-        return lambda total, h: total + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))
-
-    def lanes(hs: Column) -> Column:
-        half = F.lit(_HALF) - F.floor(F.size(hs) / 2).cast("int") - F.lit(1)
-        bump = half.cast("long") * F.lit(_LANES)
-        bits = F.lit(0).cast("long")
-        for k in range(16):
-            count = F.aggregate(hs, bump, lane(k))
-            bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(count, 14).bitwiseAND(F.lit(_LANES)), k))
-        return bits
-
-    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lanes), F.lit(0))
-
-
-#: Words that one SimHash counts.
-MOST_WORDS = 16_000
+    """Lower-cased words with a space between them, without punctuation."""
+    plain = F.translate(F.lower(line), _MARKS, " " * len(_MARKS))
+    return F.array_join(F.array_remove(F.split(plain, " ", -1), ""), " ")
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, line_no, digest, n_words, norm``: the lines of at least ``min_words`` words."""
+    """``uid, doc_id, line_no, digest, n_words, norm``: the lines of at least ``min_words`` words, stored."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(split_lines(F.col("text").cast("string"))).alias("line_no", "line"))
     norm = raw.select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
-    return norm.select(
+    spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))
+    own = norm.select(
+        F.monotonically_increasing_id().alias("uid"),
         "doc_id",
         "line_no",
         F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"),
-        F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("n_words"),
+        F.when(F.col("norm") == "", 0).otherwise(spaces + 1).alias("n_words"),
         "norm",
-    ).where(F.col("n_words") >= min_words)
+    )
+    return stored(own.where(F.col("n_words") >= min_words), "lines")
 
 
-def _hash_of(norm: Column) -> Column:
-    """SimHash of a line; one of more than ``MOST_WORDS`` words is hashed by runs of that many, and the runs' hashes once more."""
-    words = F.split(norm, " ", -1)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / MOST_WORDS).cast("int")),
-        lambda i: F.array_join(F.slice(words, i * MOST_WORDS + 1, F.lit(MOST_WORDS)), " "),
-    )
-    short = simhash(words)
-    long = simhash(F.transform(runs, lambda r: simhash(F.split(r, " ", -1)).cast("string")))
-    return F.when(F.size(words) <= MOST_WORDS, short).otherwise(long)
+def simhashes(own: DataFrame) -> DataFrame:
+    """``digest, run, h`` for every line: a bit is set if more than half of the words' hashes have it.
+
+    Sixteen sums of four 16-bit lanes each count the 64 bits of a line's words; they are combined where
+    the line is read.  Adding what is missing to half of 2**15 makes a lane's top bit tell a
+    majority.  A line of more words than a lane can count has a row for each run of that many.
+    """
+    h = F.xxhash64("word")
+    words = own.select("uid", "digest", F.posexplode(F.split("norm", " ", -1)).alias("at", "word"))
+    words = words.select("uid", "digest", F.expr(f"at div {MOST_WORDS}").alias("run"), h.alias("w"))
+    sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
+    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), *sums)
+    bump = (F.lit(16383) - F.expr("n div 2")) * F.lit(_LANES)
+    bits = F.lit(0).cast("long")
+    for k in range(16):
+        top = F.shiftrightunsigned(F.col(f"s{k}") + bump, 14).bitwiseAND(F.lit(_LANES))
+        bits = bits.bitwiseOR(F.shiftleft(top, k))
+    return counted.select("digest", "run", bits.alias("h"))
 
 
 def _keys(h: Column) -> Column:
@@ -107,41 +98,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies``."""
     own = lines(docs, min_words)
-    occurrences = stored(own.select("doc_id", "line_no", "digest", _hash_of(F.col("norm")).alias("h"), F.xxhash64("digest").alias("id")), "lines")
-    classes = stored(occurrences.groupBy("digest", "id", "h").agg(F.count(F.lit(1)).alias("copies")), "classes")
+    # Equal lines have equal hashes; a line of several runs takes the greatest of theirs.
+    classes = simhashes(own).groupBy("digest").agg(F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"))
+    classes = stored(classes.withColumn("id", F.xxhash64("digest")), "classes")
     hashes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     keyed = hashes.select("h", F.explode(_keys(F.col("h"))).alias("key"))
-    # Blocks of two hashes or more, and blocks of one hash with two classes or more.
-    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared")
-    met = keyed.join(shared, "key").select("key", "h")
+    m = F.count(F.lit(1)).over(W.partitionBy("key"))
+    met = stored(keyed.select("key", "h", m.alias("m")).where("m > 1").select("key", "h"), "met")
+    # Hashes with another one near; the rest of a block only shares its bits.
+    near = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= radius
+    x, y = met.select("key", F.col("h").alias("ha")), met.select(F.col("key").alias("key_b"), F.col("h").alias("hb"))
+    close = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ha") != F.col("hb")) & near, "left_semi").select("key", F.col("ha").alias("h"))
+    # Classes of one hash meet in a block of their own.
     alone = hashes.where("n > 1").select(F.col("h").bitwiseOR(F.lit(-(2**63))).alias("key"), "h")
-    blocks = stored(met.union(alone), "met")
+    blocks = stored(close.union(alone), "blocks")
     members = stored(blocks.join(classes.select("h", "id"), "h").select("key", "h", "id"), "members")
     heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h")).alias("head")), "heads")
-    wanted = stored(members.select("id").distinct(), "wanted")
-    ids = own.select(F.xxhash64("digest").alias("id"), "norm").join(wanted, "id", "left_semi")
-    texts = stored(ids.dropDuplicates(["id"]), "texts")
+    wanted = members.select("id").distinct()
+    texts = own.select(F.xxhash64("digest").alias("id"), "norm")
+    wanted = stored(wanted, "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    near = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= radius
     stars = (
         members.select("key", F.col("id").alias("src"), F.col("h").alias("ha"))
         .join(heads.select("key", F.col("head.id").alias("dst"), F.col("head.h").alias("hb")), "key")
         .where((F.col("src") != F.col("dst")) & near)
+        .select("src", "dst")
         .distinct()
     )
-    links = stored(_verified(stars.select("src", "dst"), texts, similarity), "links")
-    groups = connected_components(links)
-
-    named = stored(
-        members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "h", F.coalesce("component", "id").alias("g")), "named"
-    )
+    links = stored(_verified(stars, texts, similarity), "links")
+    groups = connected_components(links).withColumnRenamed("node", "id")
+    named = stored(members.join(groups, "id", "left").select("key", "id", "h", F.coalesce("component", "id").alias("g")), "named")
     x = named.select("key", F.col("id").alias("src"), F.col("h").alias("ha"), F.col("g").alias("ga"))
-    y = named.select("key", F.col("id").alias("dst"), F.col("h").alias("hb"), F.col("g").alias("gb"))
-    across = x.join(y, (x.key == y.key) & (x.ga < y.gb) & near).select("src", "dst").distinct()
+    y = named.select(F.col("key").alias("key_b"), F.col("id").alias("dst"), F.col("h").alias("hb"), F.col("g").alias("gb"))
+    across = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ga") < F.col("gb")) & near).select("src", "dst").distinct()
     links = links.union(stored(_verified(across, texts, similarity), "across"))
     comps = connected_components(links).withColumnRenamed("node", "id")
     grouped = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("group"), "copies")
-    return occurrences.select("doc_id", "line_no", "digest"), grouped
+    return own.select("doc_id", "line_no", "digest"), grouped
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
