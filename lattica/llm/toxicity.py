@@ -9,7 +9,6 @@ and not from fitted answers.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -146,13 +145,20 @@ def train(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, catego
     The vocabulary is the features in at least ``min_docs`` of the texts, at most ``max_words`` of them;
     the fitted chain keeps those that have a weight.
     """
-    sets = [features(t) for t in texts]
-    seen = Counter(w for own in sets for w in own)
-    kept = sorted((w for w, n in seen.items() if n >= min_docs), key=lambda w: (-seen[w], w))[:max_words]
-    chain = Chain({w: i for i, w in enumerate(kept)}, categories)
-    index = chain.vocabulary
-    x, size = Rows.of([[i for w in own if (i := index.get(w)) is not None] for own in sets]), len(kept)
-    del sets
+    number: dict[str, int] = {}
+    # As numbers from the start: the words of all texts as strings would not fit a small driver.
+    found = [np.fromiter((number.setdefault(w, len(number)) for w in features(t)), np.int32) for t in texts]
+    start = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64)
+    every = np.concatenate(found) if found else np.array([], np.int32)
+    del found
+    seen = np.bincount(every, minlength=len(number))
+    kept = sorted((w for w, i in number.items() if seen[i] >= min_docs), key=lambda w: (-seen[number[w]], w))[:max_words]
+    chain, size = Chain({w: i for i, w in enumerate(kept)}, categories), len(kept)
+    to = np.full(len(number), -1)
+    to[np.array([number[w] for w in kept], np.int64)] = np.arange(size)
+    del number
+    x = Rows(to[every] if len(every) else every.astype(np.int64), start)
+    x = Rows(x.index[x.index >= 0], np.concatenate(([0], np.cumsum(x.index >= 0)))[x.start])
     dense = np.zeros((len(texts), 0))
     for k, name in enumerate(categories):
         y, out = labels[:, k].astype(float), np.zeros(len(texts))
@@ -183,7 +189,7 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id")
     got = rows.orderBy("doc_id", "text").limit(sample).toPandas()
     folds = np.array([_fold(t, n_folds) for t in got["text"]], int)
-    return train(got["text"].tolist(), got[[f"y{k}" for k in range(len(categories))]].to_numpy().reshape(len(got), -1), folds, list(categories))
+    return train(got["text"].tolist(), got[[f"y{k}" for k in range(len(categories))]].to_numpy().reshape(len(got), len(categories)), folds, list(categories))
 
 
 def _fold(text: str | None, n: int) -> int:
