@@ -42,7 +42,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, SimHash and tokens are beyond SQL; tests/llm hold every stage against brute force.
+#: Models, SimHash and tokens are beyond SQL; tests/llm hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
