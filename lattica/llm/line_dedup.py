@@ -25,23 +25,35 @@ MIN_WORDS = 5
 BROADCAST_ROWS = 1_000_000
 SIMILARITY = 0.8
 
+#: Bits of a line's word set, in longs.
+SET_LONGS = 4
+#: Share of the bits of two lines' word sets that they have in common at least.
+COMMON = 0.4
+
 _LANES = 0x0001000100010001
 #: Words that the 16-bit lanes can count.
 MOST_WORDS = 16_383
 _MARKS = "".join(chr(c) for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]) + "\t\r\u00a0«»“”‘’…–—¿¡"
 
 
+_MARK = "".join(f"\\x{{{ord(c):x}}}" for c in _MARKS)
+
+
+def spaced(text: Column) -> Column:
+    """Lower case, and each run of punctuation and spaces is one space; line ends stay."""
+    return F.regexp_replace(F.lower(text), f"[{_MARK}][{_MARK} ]*| [{_MARK} ]+", " ")
+
+
 def normalised(line: Column) -> Column:
     """Lower-cased words with a space between them, without punctuation."""
-    plain = F.translate(F.lower(line), _MARKS, " " * len(_MARKS))
-    return F.array_join(F.array_remove(F.split(plain, " ", -1), ""), " ")
+    return F.trim(spaced(line))
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
     """``uid, doc_id, line_no, digest, n_words, norm``: the lines of at least ``min_words`` words, stored."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(split_lines(F.col("text").cast("string"))).alias("line_no", "line"))
-    norm = raw.select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
-    spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(split_lines(spaced(F.col("text").cast("string")))).alias("line_no", "line"))
+    norm = raw.select("doc_id", "line_no", F.trim("line").alias("norm"))
+    spaces = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))
     own = norm.select(
         F.monotonically_increasing_id().alias("uid"),
         "doc_id",
@@ -54,23 +66,50 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def simhashes(own: DataFrame) -> DataFrame:
-    """``digest, run, h`` for every line: a bit is set if more than half of the words' hashes have it.
+    """``digest, run, h, len, b0`` to ``b3`` for every line: a bit of ``h`` is set if more than half of the words' hashes have it.
 
     Sixteen sums of four 16-bit lanes each count the 64 bits of a line's words; they are combined where
     the line is read.  Adding what is missing to half of 2**15 makes a lane's top bit tell a
     majority.  A line of more words than a lane can count has a row for each run of that many.
+    ``b0`` to ``b3`` are the bits of the set of its words, ``len`` its length.
     """
     h = F.xxhash64("word")
-    words = own.select("uid", "digest", F.posexplode(F.split("norm", " ", -1)).alias("at", "word"))
-    words = words.select("uid", "digest", F.expr(f"at div {MOST_WORDS}").alias("run"), h.alias("w"))
+    words = own.select("uid", "digest", F.length("norm").alias("len"), F.posexplode(F.split("norm", " ", -1)).alias("at", "word"))
+    words = words.select("uid", "digest", "len", F.expr(f"at div {MOST_WORDS}").alias("run"), h.alias("w"))
+    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
+    sets = [F.bit_or(F.when(F.expr(f"(shiftright(w, 6) & {SET_LONGS - 1}) = {j}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(SET_LONGS)]
     sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
-    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), *sums, *sets)
     bump = (F.lit(16383) - F.expr("n div 2")) * F.lit(_LANES)
     bits = F.lit(0).cast("long")
     for k in range(16):
         top = F.shiftrightunsigned(F.col(f"s{k}") + bump, 14).bitwiseAND(F.lit(_LANES))
         bits = bits.bitwiseOR(F.shiftleft(top, k))
-    return counted.select("digest", "run", bits.alias("h"))
+    return counted.select("digest", "run", bits.alias("h"), "len", *_SET)
+
+
+_SET = [f"b{j}" for j in range(SET_LONGS)]
+
+
+def _ends(df: DataFrame, side: str, **more: str) -> DataFrame:
+    """One side of a comparison: ``key, h, len`` and the set bits of it, named for the side."""
+    return df.select(
+        F.col("key").alias(f"key_{side}"),
+        *(F.col(c).alias(f"{c}_{side}") for c in ("h", "len", *_SET)),
+        *(F.col(c).alias(n) for n, c in more.items()),
+    )
+
+
+def _alike(radius: int, similarity: float) -> Column:
+    """Whether two sides can be similar: hashes near, lengths near enough, and the words' sets alike.
+
+    The lengths alone rule out no similar pair.  The sets rule out lines whose hashes are near only because
+    a few frequent words outvote the rest; of two similar lines most words are the same.
+    """
+    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= radius
+    lengths = F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
+    total = lambda op: sum((F.bit_count(getattr(F.col(f"{c}_a"), op)(F.col(f"{c}_b"))) for c in _SET[1:]), F.bit_count(getattr(F.col("b0_a"), op)(F.col("b0_b"))))
+    return near & lengths & (total("bitwiseAND") >= total("bitwiseOR") * COMMON)
 
 
 def _keys(h: Column) -> Column:
@@ -91,15 +130,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     longest = F.greatest(F.length("x"), F.length("y"))
     most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
     near = pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y", most.alias("most"))
-    # With a limit, levenshtein() gives -1 beyond it, and stops as soon as that is sure.
-    return near.where("abs(length(x) - length(y)) <= most and levenshtein(x, y, most) >= 0").select("src", "dst")
+    # Replacing word by word takes at least as many edits, so if that is few enough, the slow count can be left out.
+    changed = "aggregate(zip_with(split(x, ' '), split(y, ' '), (a, b) -> if(a <=> b, 0, greatest(length(a), length(b), 0))), 0, (n, e) -> n + e)"
+    words = "length(replace(x, ' ', '')) - length(x) = length(replace(y, ' ', '')) - length(y)"
+    # With a limit, levenshtein() gives -1 beyond it.
+    return near.where(
+        f"abs(length(x) - length(y)) <= most and (({words} and {changed} <= most) or levenshtein(x, y, most) >= 0)"
+    ).select("src", "dst")
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies``."""
     own = lines(docs, min_words)
     # Equal lines have equal hashes; a line of several runs takes the greatest of theirs.
-    classes = simhashes(own).groupBy("digest").agg(F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"))
+    classes = simhashes(own).groupBy("digest").agg(
+        F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len"), *(F.bit_or(c).alias(c) for c in _SET)
+    )
     classes = stored(classes.withColumn("id", F.xxhash64("digest")), "classes")
     hashes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     keyed = hashes.select("h", F.explode(_keys(F.col("h"))).alias("key"))
@@ -112,27 +158,27 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     # Classes of one hash meet in a block of their own.
     alone = hashes.where("n > 1").select(F.col("h").bitwiseOR(F.lit(-(2**63))).alias("key"), "h")
     blocks = stored(close.union(alone), "blocks")
-    members = stored(blocks.join(classes.select("h", "id"), "h").select("key", "h", "id"), "members")
-    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h")).alias("head")), "heads")
+    members = stored(blocks.join(classes.select("h", "id", "len", *_SET), "h"), "members")
+    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h", "len", *_SET)).alias("head")).select("key", "head.*"), "heads")
     wanted = members.select("id").distinct()
     texts = own.select(F.xxhash64("digest").alias("id"), "norm")
     wanted = stored(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
     texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
+    alike, same_key = _alike(radius, similarity), F.col("key_a") == F.col("key_b")
     stars = (
-        members.select("key", F.col("id").alias("src"), F.col("h").alias("ha"))
-        .join(heads.select("key", F.col("head.id").alias("dst"), F.col("head.h").alias("hb")), "key")
-        .where((F.col("src") != F.col("dst")) & near)
+        _ends(members, "a", src="id")
+        .join(_ends(heads, "b", dst="id"), same_key)
+        .where((F.col("src") != F.col("dst")) & alike)
         .select("src", "dst")
         .distinct()
     )
     links = stored(_verified(stars, texts, similarity), "links")
     groups = connected_components(links).withColumnRenamed("node", "id")
-    named = stored(members.join(groups, "id", "left").select("key", "id", "h", F.coalesce("component", "id").alias("g")), "named")
-    x = named.select("key", F.col("id").alias("src"), F.col("h").alias("ha"), F.col("g").alias("ga"))
-    y = named.select(F.col("key").alias("key_b"), F.col("id").alias("dst"), F.col("h").alias("hb"), F.col("g").alias("gb"))
-    across = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ga") < F.col("gb")) & near).select("src", "dst").distinct()
+    named = stored(members.join(groups, "id", "left").select("key", "id", "h", "len", *_SET, F.coalesce("component", "id").alias("g")), "named")
+    x, y = _ends(named, "a", src="id", ga="g"), _ends(named, "b", dst="id", gb="g")
+    across = x.join(y, same_key & (F.col("ga") < F.col("gb")) & alike).select("src", "dst").distinct()
     links = links.union(stored(_verified(across, texts, similarity), "across"))
     comps = connected_components(links).withColumnRenamed("node", "id")
     grouped = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("group"), "copies")
