@@ -5,7 +5,8 @@ its words.  Two hashes within ``RADIUS`` bits agree in two of five blocks, so cl
 on the ten pairs of blocks.  Each class in a block is first compared with the block's smallest; what
 those links connect is one group, and the others are compared only across groups, so a
 block of thousands of like lines gives thousands of comparisons, not all pairs, and no group is split that all
-pairs would join.  Everything runs as DataFrame functions.
+pairs would join.  Before texts are
+read, pairs whose lengths exclude similarity, or whose words differ in most (a heuristic), are left out.  Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
