@@ -6,7 +6,7 @@ on the ten pairs of blocks.  Each class in a block is first compared with the bl
 those links connect is one group, and the others are compared only across groups, so a
 block of thousands of like lines gives thousands of comparisons, not all pairs, and no group is split that all
 pairs would join.  Before texts are
-read, pairs whose lengths exclude similarity, or whose words differ in most (a heuristic), are left out.  Everything runs as DataFrame functions.
+read, pairs whose lengths exclude similarity are left out.  Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -26,11 +26,6 @@ MIN_WORDS = 5
 BROADCAST_ROWS = 1_000_000
 SIMILARITY = 0.8
 
-#: Bits of a line's word set, in longs.
-SET_LONGS = 4
-#: Share of the bits of two lines' word sets that they have in common at least.
-COMMON = 0.4
-
 _LANES = 0x0001000100010001
 #: Words that the 16-bit lanes can count.
 MOST_WORDS = 16_383
@@ -60,50 +55,40 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def simhashes(own: DataFrame) -> DataFrame:
-    """``digest, run, h, len, b0`` to ``b3`` for every line: a bit of ``h`` is set if more than half of the words' hashes have it.
+    """``digest, run, h, len`` for every line: a bit of ``h`` is set if more than half of the words' hashes have it.
 
     Sixteen sums of four 16-bit lanes each count the 64 bits of a line's words; they are combined where
     the line is read.  Adding what is missing to half of 2**15 makes a lane's top bit tell a
     majority.  A line of more words than a lane can count has a row for each run of that many.
-    ``b0`` to ``b3`` are the bits of the set of its words, ``len`` its length.
+    ``len`` is the line's length.
     """
     h = F.xxhash64("word")
     words = own.select("uid", "digest", F.length("norm").alias("len"), F.posexplode(F.split("norm", " ", -1)).alias("at", "word"))
     words = words.select("uid", "digest", "len", F.expr(f"at div {MOST_WORDS}").alias("run"), h.alias("w"))
-    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
-    sets = [F.bit_or(F.when(F.expr(f"(shiftright(w, 6) & {SET_LONGS - 1}) = {j}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(SET_LONGS)]
     sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
-    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), *sums, *sets)
+    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), *sums)
     bump = (F.lit(16383) - F.expr("n div 2")) * F.lit(_LANES)
     bits = F.lit(0).cast("long")
     for k in range(16):
         top = F.shiftrightunsigned(F.col(f"s{k}") + bump, 14).bitwiseAND(F.lit(_LANES))
         bits = bits.bitwiseOR(F.shiftleft(top, k))
-    return counted.select("digest", "run", bits.alias("h"), "len", *_SET)
-
-
-_SET = [f"b{j}" for j in range(SET_LONGS)]
+    return counted.select("digest", "run", bits.alias("h"), "len")
 
 
 def _ends(df: DataFrame, side: str, **more: str) -> DataFrame:
     """One side of a comparison: ``key, h, len`` and the set bits of it, named for the side."""
     return df.select(
         F.col("key").alias(f"key_{side}"),
-        *(F.col(c).alias(f"{c}_{side}") for c in ("h", "len", *_SET)),
+        *(F.col(c).alias(f"{c}_{side}") for c in ("h", "len")),
         *(F.col(c).alias(n) for n, c in more.items()),
     )
 
 
 def _alike(radius: int, similarity: float) -> Column:
-    """Whether two sides can be similar: hashes near, lengths near enough, and the words' sets alike.
-
-    The lengths alone rule out no similar pair.  The sets rule out lines whose hashes are near only because
-    a few frequent words outvote the rest; of two similar lines most words are the same.
-    """
+    """Whether two sides can be similar: hashes near, and lengths near enough, which rules out no similar pair."""
     near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= radius
     lengths = F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
-    total = lambda op: sum((F.bit_count(getattr(F.col(f"{c}_a"), op)(F.col(f"{c}_b"))) for c in _SET[1:]), F.bit_count(getattr(F.col("b0_a"), op)(F.col("b0_b"))))
-    return near & lengths & (total("bitwiseAND") >= total("bitwiseOR") * COMMON)
+    return near & lengths
 
 
 def _keys(h: Column) -> Column:
@@ -138,7 +123,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     own = lines(docs, min_words)
     # Equal lines have equal hashes; a line of several runs takes the greatest of theirs.
     classes = simhashes(own).groupBy("digest").agg(
-        F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len"), *(F.bit_or(c).alias(c) for c in _SET)
+        F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len")
     )
     classes = stored(classes.withColumn("id", F.xxhash64("digest")), "classes")
     hashes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -152,8 +137,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     # Classes of one hash meet in a block of their own.
     alone = hashes.where("n > 1").select(F.col("h").bitwiseOR(F.lit(-(2**63))).alias("key"), "h")
     blocks = stored(close.union(alone), "blocks")
-    members = stored(blocks.join(classes.select("h", "id", "len", *_SET), "h"), "members")
-    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h", "len", *_SET)).alias("head")).select("key", "head.*"), "heads")
+    members = stored(blocks.join(classes.select("h", "id", "len"), "h"), "members")
+    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h", "len")).alias("head")).select("key", "head.*"), "heads")
     wanted = members.select("id").distinct()
     texts = own.select(F.xxhash64("digest").alias("id"), "norm")
     wanted = stored(wanted, "wanted")
@@ -170,7 +155,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     )
     links = stored(_verified(stars, texts, similarity), "links")
     groups = connected_components(links).withColumnRenamed("node", "id")
-    named = stored(members.join(groups, "id", "left").select("key", "id", "h", "len", *_SET, F.coalesce("component", "id").alias("g")), "named")
+    named = stored(members.join(groups, "id", "left").select("key", "id", "h", "len", F.coalesce("component", "id").alias("g")), "named")
     x, y = _ends(named, "a", src="id", ga="g"), _ends(named, "b", dst="id", gb="g")
     across = x.join(y, same_key & (F.col("ga") < F.col("gb")) & alike).select("src", "dst").distinct()
     links = links.union(stored(_verified(across, texts, similarity), "across"))

@@ -236,6 +236,12 @@ def test_line_dedup(spark):
     assert line_dedup.repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_compares_lines_of_one_repeated_word(spark):
+    """Equal hashes and two edits, but few of the words in common."""
+    rows = [(1, "0 0 0 0 0 0 1 0 0 2"), (2, "0 0 0 0 0 0 3 0 0 4")]
+    assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()] == [(2, 1)]
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
