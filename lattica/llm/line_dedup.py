@@ -2,7 +2,8 @@
 
 Lines are normalised; equal ones form a class by digest.  Each class has a 64-bit SimHash of
 its words.  Two hashes within ``RADIUS`` bits agree in two of five blocks, so classes meet
-on the ten pairs of blocks.  Each class in a block is first compared with the block's smallest; what
+on the ten pairs of blocks.  Similar lines are mostly further apart (a changed word in ten moves about eight bits), so
+with ``bands`` classes also meet where four of sixteen minima over their words' hashes are equal, up to ``FAR`` bits.  Each class in a block is first compared with the block's smallest; what
 those links connect is one group, and the others are compared only across groups, so a
 block of thousands of like lines gives thousands of comparisons, not all pairs, and no group is split that all
 pairs would join.  Before texts are
@@ -11,6 +12,7 @@ read, pairs whose lengths exclude similarity are left out.  Everything runs as D
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,21 @@ MIN_WORDS = 5
 BROADCAST_ROWS = 1_000_000
 SIMILARITY = 0.8
 
+#: Minima of a line's word hashes that make a key together; each pair of minima is in few of them.
+BANDS = (
+    (1, 8, 13, 15), (2, 3, 5, 7), (4, 10, 12, 14), (0, 6, 9, 11), (0, 4, 5, 15), (1, 3, 11, 12), (7, 8, 9, 14), (2, 6, 10, 13),
+    (5, 9, 12, 13), (7, 10, 11, 15), (0, 1, 2, 14), (3, 4, 6, 8), (1, 5, 8, 10), (4, 11, 13, 14), (2, 6, 12, 15), (0, 3, 9, 10),
+    (0, 7, 8, 12), (1, 2, 4, 9), (3, 5, 6, 14), (1, 6, 7, 13), (2, 5, 8, 11), (0, 3, 13, 15), (9, 10, 14, 15), (4, 7, 11, 12),
+)
+#: Bits that the hashes of two lines of a band may be apart.
+FAR = 16
+#: What the registered query and the pipeline run with: bands.
+WHOLE = {"bands": BANDS}
+
+#: Each minimum turns the words' hashes by four bits more and mixes its own constant in.
+_MIXED = tuple(int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(16))
+_MINS = [f"m{k}" for k in range(len(_MIXED))]
+
 _LANES = 0x0001000100010001
 #: Words that the 16-bit lanes can count.
 MOST_WORDS = 16_383
@@ -55,40 +72,37 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def simhashes(own: DataFrame) -> DataFrame:
-    """``digest, run, h, len`` for every line: a bit of ``h`` is set if more than half of the words' hashes have it.
+    """``digest, run, h, len, m0`` to ``m15`` for every line: a bit of ``h`` is set if more than half of the words' hashes have it.
 
     Sixteen sums of four 16-bit lanes each count the 64 bits of a line's words; they are combined where
     the line is read.  Adding what is missing to half of 2**15 makes a lane's top bit tell a
     majority.  A line of more words than a lane can count has a row for each run of that many.
-    ``len`` is the line's length.
+    ``m0`` to ``m15`` are minima over the words' hashes, each in an order of its own; ``len`` is the line's length.
     """
     h = F.xxhash64("word")
     words = own.select("uid", "digest", F.length("norm").alias("len"), F.posexplode(F.split("norm", " ", -1)).alias("at", "word"))
     words = words.select("uid", "digest", "len", F.expr(f"at div {MOST_WORDS}").alias("run"), h.alias("w"))
+    turned = lambda k: F.shiftleft("w", 4 * k).bitwiseOR(F.shiftrightunsigned("w", 64 - 4 * k)) if k else F.col("w")
+    mins = [F.min(F.shiftright(turned(k).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{k}") for k, c in enumerate(_MIXED)]
     sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
-    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), *sums)
+    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), *sums, *mins)
     bump = (F.lit(16383) - F.expr("n div 2")) * F.lit(_LANES)
     bits = F.lit(0).cast("long")
     for k in range(16):
         top = F.shiftrightunsigned(F.col(f"s{k}") + bump, 14).bitwiseAND(F.lit(_LANES))
         bits = bits.bitwiseOR(F.shiftleft(top, k))
-    return counted.select("digest", "run", bits.alias("h"), "len")
+    return counted.select("digest", "run", bits.alias("h"), "len", *_MINS)
 
 
 def _ends(df: DataFrame, side: str, **more: str) -> DataFrame:
-    """One side of a comparison: ``key, h, len`` and the set bits of it, named for the side."""
-    return df.select(
-        F.col("key").alias(f"key_{side}"),
-        *(F.col(c).alias(f"{c}_{side}") for c in ("h", "len")),
-        *(F.col(c).alias(n) for n, c in more.items()),
-    )
+    """One side of a comparison: ``key, far, h, len`` of it, named for the side."""
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "far", "h", "len")), *(F.col(c).alias(n) for n, c in more.items()))
 
 
-def _alike(radius: int, similarity: float) -> Column:
-    """Whether two sides can be similar: hashes near, and lengths near enough, which rules out no similar pair."""
-    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= radius
-    lengths = F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
-    return near & lengths
+def _alike(similarity: float) -> Column:
+    """Whether two sides can be similar: hashes as near as their key asks, and lengths near enough, which rules out no similar pair."""
+    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= F.col("far_a")
+    return near & F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
 
 
 def _keys(h: Column) -> Column:
@@ -102,6 +116,11 @@ def _keys(h: Column) -> Column:
     return F.array(*out)
 
 
+def _band_keys(bands: tuple[tuple[int, ...], ...]) -> Column:
+    """A hash for each band of the minima in it, apart from the keys of blocks."""
+    return F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)).bitwiseOR(F.lit(1 << 62)) for k, band in enumerate(bands)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``src, dst`` of classes whose lines are that similar: 1 - edit distance / longer length."""
     a = texts.select(F.col("id").alias("src"), F.col("norm").alias("x"))
@@ -118,12 +137,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     ).select("src", "dst")
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+def line_groups(
+    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = ()
+) -> tuple[DataFrame, DataFrame]:
     """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies``."""
     own = lines(docs, min_words)
     # Equal lines have equal hashes; a line of several runs takes the greatest of theirs.
     classes = simhashes(own).groupBy("digest").agg(
-        F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len")
+        F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len"), *(F.min(c).alias(c) for c in _MINS if bands)
     )
     classes = stored(classes.withColumn("id", F.xxhash64("digest")), "classes")
     hashes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -137,15 +158,20 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     # Classes of one hash meet in a block of their own.
     alone = hashes.where("n > 1").select(F.col("h").bitwiseOR(F.lit(-(2**63))).alias("key"), "h")
     blocks = stored(close.union(alone), "blocks")
-    members = stored(blocks.join(classes.select("h", "id", "len"), "h"), "members")
-    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h", "len")).alias("head")).select("key", "head.*"), "heads")
+    members = blocks.join(classes.select("h", "id", "len"), "h").select("key", "id", "h", "len", F.lit(radius).alias("far"))
+    if bands:
+        banded = classes.select("id", F.explode(_band_keys(bands)).alias("key")).select("key", "id", m.alias("m")).where("m > 1").select("key", "id")
+        banded = stored(banded, "banded").join(classes.select("id", "h", "len"), "id")
+        members = members.union(banded.select("key", "id", "h", "len", F.lit(FAR).alias("far")))
+    members = stored(members, "members")
+    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h", "len", "far")).alias("head")).select("key", "head.*"), "heads")
     wanted = members.select("id").distinct()
     texts = own.select(F.xxhash64("digest").alias("id"), "norm")
     wanted = stored(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
     texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    alike, same_key = _alike(radius, similarity), F.col("key_a") == F.col("key_b")
+    alike, same_key = _alike(similarity), F.col("key_a") == F.col("key_b")
     stars = (
         _ends(members, "a", src="id")
         .join(_ends(heads, "b", dst="id"), same_key)
@@ -155,7 +181,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     )
     links = stored(_verified(stars, texts, similarity), "links")
     groups = connected_components(links).withColumnRenamed("node", "id")
-    named = stored(members.join(groups, "id", "left").select("key", "id", "h", "len", F.coalesce("component", "id").alias("g")), "named")
+    named = stored(members.join(groups, "id", "left").select("key", "id", "h", "len", "far", F.coalesce("component", "id").alias("g")), "named")
     x, y = _ends(named, "a", src="id", ga="g"), _ends(named, "b", dst="id", gb="g")
     across = x.join(y, same_key & (F.col("ga") < F.col("gb")) & alike).select("src", "dst").distinct()
     links = links.union(stored(_verified(across, texts, similarity), "across"))
@@ -164,7 +190,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     return own.select("doc_id", "line_no", "digest"), grouped
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = ()) -> DataFrame:
     """The lines to remove: ``doc_id, line_no, keep_doc_id, keep_line_no, group_lines``.
 
     In each group of equal and similar lines the one of the smallest (doc_id, line_no) stays.  Lines of
@@ -173,7 +199,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     of rows without doc_id rank last; if a group has no others, all of its lines stay.  Other
     columns are ignored; an empty table gives no row.
     """
-    occurrences, groups = line_groups(docs, min_words, similarity, radius)
+    occurrences, groups = line_groups(docs, min_words, similarity, radius, bands)
     groups = stored(groups, "groups")
     sizes = groups.groupBy("group").agg(F.sum("copies").alias("group_lines")).where("group_lines > 1")
     named = stored(groups.join(sizes, "group").select("digest", "group", "group_lines"), "repeated")
@@ -188,12 +214,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     )
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = ()) -> DataFrame:
     """``docs`` without the repeated lines; ``n_chars``, if there, is counted anew where a line went.
 
     A document of which no line is left stays with an empty text; rows without doc_id keep their lines.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words, similarity, radius)
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words, similarity, radius, bands)
     gone = stored(gone.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
     names = docs.columns
     gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("gone").alias("gone_lines"))

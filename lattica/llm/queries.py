@@ -60,7 +60,7 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,19 @@ def test_line_dedup_compares_lines_of_one_repeated_word(spark):
     assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()] == [(2, 1)]
 
 
+def test_line_dedup_finds_similar_lines_beyond_the_radius(spark):
+    """One of 10, 20 or 30 words replaced."""
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for k in range(60):
+        v = [f"{'abcdefgh'[k % 8]}w{rng.integers(0, 3000):04d}" for _ in range(10 + 10 * (k % 3))]
+        rows.append((2 * k, " ".join(v)))
+        v[int(rng.integers(0, len(v)))] = "zz9999"
+        rows.append((2 * k + 1, " ".join(v)))
+        want.add((2 * k + 1, 2 * k))
+    assert {(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows), **line_dedup.WHOLE).collect()} == want
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
