@@ -36,8 +36,8 @@ BANDS = (
 )
 #: Bits that the hashes of two lines of a band may be apart.
 FAR = 16
-#: What the registered query and the pipeline run with: bands.
-WHOLE = {"bands": BANDS}
+#: What the registered query and the pipeline run with: bands, and exact repeats of lines of any number of words.
+WHOLE = {"bands": BANDS, "short": True}
 
 #: Each minimum turns the words' hashes by four bits more and mixes its own constant in.
 _MIXED = tuple(int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(16))
@@ -138,10 +138,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def line_groups(
-    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = ()
+    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = (), short: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies``."""
-    own = lines(docs, min_words)
+    every = lines(docs, 1 if short else min_words)
+    own = every.where(F.col("n_words") >= min_words)
     # Equal lines have equal hashes; a line of several runs takes the greatest of theirs.
     classes = simhashes(own).groupBy("digest").agg(
         F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len"), *(F.min(c).alias(c) for c in _MINS if bands)
@@ -187,19 +188,22 @@ def line_groups(
     links = links.union(stored(_verified(across, texts, similarity), "across"))
     comps = connected_components(links).withColumnRenamed("node", "id")
     grouped = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("group"), "copies")
-    return own.select("doc_id", "line_no", "digest"), grouped
+    if short:
+        few = every.where(F.col("n_words") < min_words).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+        grouped = grouped.union(few.select("digest", F.xxhash64("digest").alias("group"), "copies"))
+    return every.select("doc_id", "line_no", "digest"), grouped
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = ()) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = (), short: bool = False) -> DataFrame:
     """The lines to remove: ``doc_id, line_no, keep_doc_id, keep_line_no, group_lines``.
 
     In each group of equal and similar lines the one of the smallest (doc_id, line_no) stays.  Lines of
-    fewer than ``min_words`` words, and so empty ones, are left alone; a null text has no lines.  Rows that
+    fewer than ``min_words`` words are left alone, or with ``short`` compared by digest only; empty ones are left alone; a null text has no lines.  Rows that
     repeat a doc_id are one document: equal lines at the same line_no of it stay together.  Lines
     of rows without doc_id rank last; if a group has no others, all of its lines stay.  Other
     columns are ignored; an empty table gives no row.
     """
-    occurrences, groups = line_groups(docs, min_words, similarity, radius, bands)
+    occurrences, groups = line_groups(docs, min_words, similarity, radius, bands, short)
     groups = stored(groups, "groups")
     sizes = groups.groupBy("group").agg(F.sum("copies").alias("group_lines")).where("group_lines > 1")
     named = stored(groups.join(sizes, "group").select("digest", "group", "group_lines"), "repeated")
@@ -214,12 +218,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     )
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = (), short: bool = False) -> DataFrame:
     """``docs`` without the repeated lines; ``n_chars``, if there, is counted anew where a line went.
 
     A document of which no line is left stays with an empty text; rows without doc_id keep their lines.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words, similarity, radius, bands)
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words, similarity, radius, bands, short)
     gone = stored(gone.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
     names = docs.columns
     gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("gone").alias("gone_lines"))

@@ -255,6 +255,11 @@ def test_line_dedup_finds_similar_lines_beyond_the_radius(spark):
     assert {(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows), **line_dedup.WHOLE).collect()} == want
 
 
+def test_line_dedup_finds_exact_repeats_of_short_lines(spark):
+    rows = [(1, "All rights reserved."), (2, "all rights reserved"), (3, ""), (4, ""), (5, "all rights reversed")]
+    assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows), **line_dedup.WHOLE).collect()] == [(2, 1)]
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
