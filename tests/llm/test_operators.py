@@ -164,6 +164,16 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_units(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_finds_lines_and_passages_of_short_sentences(spark):
+    many = "One is here. Two is there. Three went by. Four came in. Five."
+    short, mixed = "Licensed under CC BY-NC 4.0.", "It was so. This sentence has many more words than seven in it. It ended."
+    rows = [(1, f"{many}\n{short}"), (2, f"{short}\nOwn words."), (3, f"Own start then. {many} Own end now."), (4, f"Begun. {mixed}"), (5, f"{mixed} Finis."), (6, "Ha. " * 10), (7, "Own words. Two is there.")]
+    clean = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs(spark, rows)).collect()}
+    assert clean == {1: rows[0][1], 2: "\nOwn words.", 3: "Own start then.  Own end now.", 4: rows[3][1], 5: " Finis.", 6: rows[5][1], 7: rows[6][1]}
+    spans = [(r.doc_id, rows[r.doc_id - 1][1][r.start : r.end]) for r in substring_dedup.repeated_units(docs(spark, rows)).collect()]
+    assert (2, short) in spans and not any(x != y and x[0] == y[0] and x[1] in y[1] for x in spans for y in spans)
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
