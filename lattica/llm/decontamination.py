@@ -1,24 +1,28 @@
 """Benchmark decontamination with spaced-seed hashes.
 
-A mask over nine tokens ignores three of them; each token is ignored by one of the masks, so
-a window with one substitution still has a hash in common with its original.  Benchmark items are
-hashed at every token, documents at every ``STRIDE``-th: any stretch of ``MIN_TOKENS`` tokens
-holds one of those windows as a whole.  A hit gives a document, an item and a shift between them;
-around it the tokens are compared one by one, with substitutions allowed.  Everything
-runs as DataFrame functions.
+A mask over nine tokens ignores three of them.  Items and documents are hashed at every token, under as many masks as it
+takes for each way of substituting tokens that the comparison accepts to leave a hash in common: one of nine tokens, two of ten to
+``MIN_TOKENS``.  An item under nine tokens has a mask over all of it for each of its tokens.  A hit
+gives a document, an item and a shift between them; around it the tokens are compared one by one, with
+substitutions allowed.  Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import stored
 
 SPAN = 9
-#: Tokens that each mask ignores.
-MASKS = ((0, 4, 5), (1, 3, 8), (2, 6, 7))
-STRIDE = 4
+#: Tokens that a mask ignores.
+IGNORED = 3
+#: Items under this are no evidence.
+LEAST = 5
 MIN_TOKENS = 13
 SIMILARITY = 0.8
 #: Rows of the benchmark's index up to which it is broadcast (about 40 bytes each).
@@ -30,8 +34,26 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def window_hashes(words: Column, stride: int) -> Column:
-    """Array with a hash for each window and mask: window ``i // len(MASKS)`` at ``stride`` times that, mask ``i % len(MASKS)``.
+@cache
+def masks(span: int, sizes: frozenset[int]) -> tuple[tuple[int, ...], ...]:
+    """Tokens that each mask over ``span`` ignores, so that every accepted substitution in that many tokens leaves one."""
+    if span < SPAN:
+        return tuple((i,) for i in range(span))
+    left = {(n, c) for n in sizes for c in combinations(range(n), n - ceil(n * SIMILARITY - 1e-9))}
+    covers = {
+        m: {(n, c) for n, c in left if any(all(not o <= x < o + span or x - o in m for x in c) for o in range(n - span + 1))}
+        for m in combinations(range(span), IGNORED)
+    }
+    out = []
+    while left:
+        best = max(covers, key=lambda m: len(covers[m] & left))
+        out.append(best)
+        left -= covers[best]
+    return tuple(out)
+
+
+def window_hashes(words: Column, span: int, skips: tuple[tuple[int, ...], ...]) -> Column:
+    """Array with a hash for each window and mask: window at ``i // len(skips)``, mask ``i % len(skips)``.
 
     The words are bound to a variable, so they are made once for a row.
     """
@@ -39,12 +61,10 @@ def window_hashes(words: Column, stride: int) -> Column:
     def at(ws: Column) -> Column:
         def one(i: Column) -> Column:
             return F.array(
-                *(F.xxhash64(F.lit(m), *(F.get(ws, i + o) for o in range(SPAN) if o not in skip)) for m, skip in enumerate(MASKS))
+                *(F.xxhash64(F.lit(m), *(F.get(ws, i + o) for o in range(span) if o not in skip)) for m, skip in enumerate(skips))
             )
 
-        return F.when(
-            F.size(ws) >= SPAN, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws) - SPAN, F.lit(stride)), one))
-        )
+        return F.when(F.size(ws) >= span, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws) - span), one)))
 
     return F.get(F.transform(F.array(words), at), F.lit(0))
 
@@ -55,28 +75,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
     A document holds an item if at one shift ``MIN_TOKENS`` tokens in a row (all of a shorter item's)
     agree in at least ``SIMILARITY`` of their places.  The row tells of the shift with the most equal
     tokens (then the earliest): the first places compared, how many, how many are equal.  Items
-    under ``SPAN`` tokens, null or empty ones among them, are no evidence and are held by nothing; null
+    under ``LEAST`` tokens, null or empty ones among them, are no evidence and are held by nothing; null
     and empty documents hold nothing.  Rows without doc_id are left out; rows that repeat a doc_id
     are one document, which holds what any of them holds; the same holds for item_id.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("body")).where("doc_id is not null and body is not null")
     items = stored(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col(item_text)).alias("item")).where(
-            F.col("item_id").isNotNull() & (F.size("item") >= SPAN)
+            F.col("item_id").isNotNull() & (F.size("item") >= LEAST)
         ),
         "items",
     )
-    index = stored(
-        items.select("item_id", F.size("item").alias("size"), F.posexplode(window_hashes(F.col("item"), 1)).alias("i", "hash")).select(
-            "item_id", "size", F.expr(f"i div {len(MASKS)}").cast("int").alias("item_at"), "hash"
-        ),
-        "index",
-    )
-    windows = own.select("doc_id", F.posexplode(window_hashes(tokens(F.col("body")), STRIDE)).alias("i", "hash"))
-    small = index.count() <= BROADCAST_ROWS
-    hits = windows.join(F.broadcast(index) if small else index, "hash")
-    shift = F.expr(f"{STRIDE} * (i div {len(MASKS)}) - item_at").cast("int")
-    shifts = hits.select("doc_id", F.struct("item_id", "size", shift.alias("shift")).alias("c")).distinct()
+    sizes = [r.n for r in items.select(F.least(F.size("item"), F.lit(MIN_TOKENS)).alias("n")).distinct().collect()]
+    hits = None
+    for span in sorted({min(n, SPAN) for n in sizes}) or [SPAN]:
+        skips = masks(span, frozenset(n for n in sizes if n >= SPAN) if span == SPAN else frozenset({span})) or ((),)
+        fit = items.where(F.size("item") >= SPAN if span == SPAN else F.size("item") == span)
+        index = stored(
+            fit.select("item_id", F.size("item").alias("size"), F.posexplode(window_hashes(F.col("item"), span, skips)).alias("i", "hash")).select(
+                "item_id", "size", F.expr(f"i div {len(skips)}").cast("int").alias("item_at"), "hash"
+            ),
+            "index",
+        )
+        windows = own.select("doc_id", F.posexplode(window_hashes(tokens(F.col("body")), span, skips)).alias("i", "hash"))
+        small = index.count() <= BROADCAST_ROWS
+        found = windows.join(F.broadcast(index) if small else index, "hash")
+        shift = F.expr(f"i div {len(skips)} - item_at").cast("int")
+        found = found.select("doc_id", F.struct("item_id", "size", shift.alias("shift")).alias("c"))
+        hits = found if hits is None else hits.union(found)
+    small = items.count() <= BROADCAST_ROWS // 50
+    shifts = hits.distinct()
     wanted = stored(shifts.groupBy("doc_id").agg(F.collect_list("c").alias("cs")), "shifts")
 
     def cut(ws: Column) -> Column:

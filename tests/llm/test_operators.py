@@ -82,6 +82,22 @@ def test_decontamination_finds_all_one_substitution_overlaps(spark):
     assert decontamination.overlaps(docs(spark, rows), bench).count() == len(rows)
 
 
+def test_decontamination_finds_short_items_and_two_substitutions(spark):
+    """Items of 5 to 13 tokens at every alignment, and every accepted pair of substitutions."""
+    rows, bench = [], []
+    for n in (5, 6, 8, 9, 10, 11, 12, 13):
+        item = [f"i{n}t{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        changed = n - int(np.ceil(0.8 * n - 1e-9))
+        pairs = [(a, b) for a in range(n) for b in range(a, n if changed > 1 else a + 1)]
+        for at in [(), *pairs]:
+            v = ["other" if k in at else x for k, x in enumerate(item)]
+            rows += [(len(rows) + lead, " ".join(["pad"] * lead + v)) for lead in range(4)]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id for r in decontamination.overlaps(docs(spark, rows, False), bench).collect()}
+    assert got == set(range(len(rows)))
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 BASE = {
