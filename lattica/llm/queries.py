@@ -72,7 +72,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train_on(docs, table(spark, sf_dir, "labels"), categories())
     found = toxicity.scored(docs.select("doc_id", "text"), chain)
-    return found.where("is_toxic").select("doc_id", "p_low_quality", "p_toxic")
+    return found.select("doc_id", "p_low_quality", "p_toxic", "is_low_quality", "is_toxic")
 
 
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

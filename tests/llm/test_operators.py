@@ -362,6 +362,13 @@ def test_toxicity_held_out(spark):
     assert toxicity.scored(df, empty).where("is_toxic").count() == 0
 
 
+def test_toxicity_query_has_a_row_for_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    got = queries.op7_toxicity(spark, d)
+    assert got.columns == ["doc_id", "p_low_quality", "p_toxic", "is_low_quality", "is_toxic"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in queries.table(spark, d, "documents").collect())
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
