@@ -1,13 +1,16 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are normalised; equal ones form a class by digest.  Each class has a 64-bit SimHash of
+Lines are normalised; equal ones form a class by their 128-bit digest.  Each class has a 64-bit SimHash of
 its words.  Two hashes within ``RADIUS`` bits agree in two of five blocks, so classes meet
-on the ten pairs of blocks.  Similar lines are mostly further apart (a changed word in ten moves about eight bits), so
-with ``bands`` classes also meet where four of sixteen minima over their words' hashes are equal, up to ``FAR`` bits.  Each class in a block is first compared with the block's smallest; what
+on the ten pairs of blocks.  Edit similarity of 0.8 leaves most similar lines further apart than that (a changed word
+in ten moves about eight bits), and a wider radius has no blocks that tell lines apart, so classes also meet
+where four of sixteen minima over their words' hashes are equal.  Two that met are compared if their hashes are at most
+``RADIUS`` bits apart, in a band ``FAR`` bits, and their lengths allow the similarity; the edit distance decides.
+
+Classes that meet in a block of more than two are first compared with the block's smallest; what
 those links connect is one group, and the others are compared only across groups, so a
 block of thousands of like lines gives thousands of comparisons, not all pairs, and no group is split that all
-pairs would join.  Before texts are
-read, pairs whose lengths exclude similarity are left out.  Everything runs as DataFrame functions.
+pairs would join.  Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,96 +19,76 @@ import hashlib
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import connected_components, split_lines, stored
+from lattica.llm.common import connected_components, owned, split_lines, stored
 
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Bits that the hashes of two lines that met in a band may be apart.
+FAR = 18
 MIN_WORDS = 5
-#: Ids of lines (8 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
 SIMILARITY = 0.8
-
-#: Minima of a line's word hashes that make a key together; each pair of minima is in few of them.
+#: Digests of lines (24 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Minima of a line's word hashes that make a key together: rows, columns and diagonals both ways of a square of sixteen.
 BANDS = (
-    (1, 8, 13, 15), (2, 3, 5, 7), (4, 10, 12, 14), (0, 6, 9, 11), (0, 4, 5, 15), (1, 3, 11, 12), (7, 8, 9, 14), (2, 6, 10, 13),
-    (5, 9, 12, 13), (7, 10, 11, 15), (0, 1, 2, 14), (3, 4, 6, 8), (1, 5, 8, 10), (4, 11, 13, 14), (2, 6, 12, 15), (0, 3, 9, 10),
-    (0, 7, 8, 12), (1, 2, 4, 9), (3, 5, 6, 14), (1, 6, 7, 13), (2, 5, 8, 11), (0, 3, 13, 15), (9, 10, 14, 15), (4, 7, 11, 12),
-)
-#: Bits that the hashes of two lines of a band may be apart.
-FAR = 16
-#: What the registered query and the pipeline run with: bands, and exact repeats of lines of any number of words.
-WHOLE = {"bands": BANDS, "short": True}
+    *(tuple(range(4 * k, 4 * k + 4)) for k in range(4)),
+    *(tuple(range(k, 16, 4)) for k in range(4)),
+    *(tuple(4 * i + (k + i) % 4 for i in range(4)) for k in range(4)),
+    *(tuple(4 * i + (k - i) % 4 for i in range(4)) for k in range(4)),
+)
 
 #: Each minimum turns the words' hashes by four bits more and mixes its own constant in.
 _MIXED = tuple(int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(16))
-_MINS = [f"m{k}" for k in range(len(_MIXED))]
-
-_LANES = 0x0001000100010001
-#: Words that the 16-bit lanes can count.
-MOST_WORDS = 16_383
-_MARKS = "".join(chr(c) for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]) + "\t\r\u00a0«»“”‘’…–—¿¡"
+#: Keys of bands are at least this, those of blocks less.
+_BAND = 1 << 62
+#: Two lanes of 32 bits; a lane counts up to 2**30 letters.
+_LANES = 0x0000000100000001
 
 
 def normalised(line: Column) -> Column:
-    """Lower-cased words with a space between them, without punctuation."""
-    plain = F.translate(F.lower(line), _MARKS, " " * len(_MARKS))
-    return F.array_join(F.array_remove(F.split(plain, " ", -1), ""), " ")
+    """Lower-cased words of letters, marks and digits with a space between them."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``uid, doc_id, line_no, digest, n_words, norm``: the lines of at least ``min_words`` words, stored."""
+def lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, digest, n_words, norm`` of every line, stored."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(split_lines(F.col("text").cast("string"))).alias("line_no", "line"))
     norm = raw.select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
     spaces = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))
-    own = norm.select(
-        F.monotonically_increasing_id().alias("uid"),
-        "doc_id",
-        "line_no",
-        F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"),
-        F.when(F.col("norm") == "", 0).otherwise(spaces + 1).alias("n_words"),
-        "norm",
-    )
-    return stored(own.where(F.col("n_words") >= min_words), "lines")
+    own = norm.select("doc_id", "line_no", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"), F.when(F.col("norm") == "", 0).otherwise(spaces + 1).alias("n_words"), "norm")
+    return stored(own, "lines")
 
 
-def simhashes(own: DataFrame) -> DataFrame:
-    """``digest, run, h, len, m0`` to ``m15`` for every line: a bit of ``h`` is set if more than half of the words' hashes have it.
+def simhash_classes(every: DataFrame, min_words: int, bands: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """``id, digest, copies, len, h, b0, b1, ...``: a row for each digest of ``min_words`` words or more, stored.
 
-    Sixteen sums of four 16-bit lanes each count the 64 bits of a line's words; they are combined where
-    the line is read.  Adding what is missing to half of 2**15 makes a lane's top bit tell a
-    majority.  A line of more words than a lane can count has a row for each run of that many.
-    ``m0`` to ``m15`` are minima over the words' hashes, each in an order of its own; ``len`` is the line's length.
+    A bit of ``h`` is set if words with more than half of the line's letters have it in their hashes: edits count
+    letters too, and short words, which all lines have, would make unlike lines near.  Equal lines are combined before the shuffle;
+    after it, the words of a class are counted where the class is, without another one.  32 sums of
+    two lanes each count the 64 bits; adding what is missing to half of 2**31 makes a lane's top bit tell a
+    majority.  A band's key is a hash of its minima.  ``id`` is unique, as the rows are numbered when they are stored.
     """
-    h = F.xxhash64("word")
-    words = own.select("uid", "digest", F.length("norm").alias("len"), F.posexplode(F.split("norm", " ", -1)).alias("at", "word"))
-    words = words.select("uid", "digest", "len", F.expr(f"at div {MOST_WORDS}").alias("run"), h.alias("w"))
+    own = every.where(F.col("n_words") >= min_words).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("norm").alias("norm"))
+    words = own.select("digest", "copies", F.length("norm").alias("len"), F.explode(F.split("norm", " ", -1)).alias("word"))
+    words = words.select("digest", "copies", "len", F.xxhash64("word").alias("w"), F.length("word").cast("long").alias("c"))
     turned = lambda k: F.shiftleft("w", 4 * k).bitwiseOR(F.shiftrightunsigned("w", 64 - 4 * k)) if k else F.col("w")
-    mins = [F.min(F.shiftright(turned(k).bitwiseXOR(F.lit(c)), 32).cast("int")).alias(f"m{k}") for k, c in enumerate(_MIXED)]
-    sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
-    counted = words.groupBy("uid", "digest", "run").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), *sums, *mins)
-    bump = (F.lit(16383) - F.expr("n div 2")) * F.lit(_LANES)
+    used = sorted({j for band in bands for j in band})
+    mins = [F.min(F.shiftright(turned(k).bitwiseXOR(F.lit(_MIXED[k])), 32).cast("int")).alias(f"m{k}") for k in used]
+    sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES)) * F.col("c")).alias(f"s{k}") for k in range(32)]
+    counted = words.groupBy("digest").agg(
+        F.sum("c").alias("n"), F.max("copies").alias("copies"), F.max("len").alias("len"), *sums, *mins
+    )
+    bump = (F.lit(2**30 - 1).cast("long") - F.expr("n div 2")) * F.lit(_LANES)
     bits = F.lit(0).cast("long")
-    for k in range(16):
-        top = F.shiftrightunsigned(F.col(f"s{k}") + bump, 14).bitwiseAND(F.lit(_LANES))
-        bits = bits.bitwiseOR(F.shiftleft(top, k))
-    return counted.select("digest", "run", bits.alias("h"), "len", *_MINS)
-
-
-def _ends(df: DataFrame, side: str, **more: str) -> DataFrame:
-    """One side of a comparison: ``key, far, h, len`` of it, named for the side."""
-    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "far", "h", "len")), *(F.col(c).alias(n) for n, c in more.items()))
-
-
-def _alike(similarity: float) -> Column:
-    """Whether two sides can be similar: hashes as near as their key asks, and lengths near enough, which rules out no similar pair."""
-    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= F.col("far_a")
-    return near & F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
+    for k in range(32):
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + bump, 30).bitwiseAND(F.lit(_LANES)), k))
+    keys = [F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)).alias(f"b{k}") for k, band in enumerate(bands)]
+    return stored(counted.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "len", bits.alias("h"), *keys), "classes")
 
 
-def _keys(h: Column) -> Column:
+def _block_keys(h: Column) -> list[Column]:
     """The ten pairs of blocks, each with its number, as one long."""
     out = []
     for k, (x, y) in enumerate(combinations(range(len(BLOCKS)), 2)):
@@ -113,98 +96,98 @@ def _keys(h: Column) -> Column:
         left = F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << na) - 1))
         right = F.shiftrightunsigned(h, b).bitwiseAND(F.lit((1 << nb) - 1))
         out.append(F.lit(k << 32).bitwiseOR(F.shiftleft(left, 13)).bitwiseOR(right))
-    return F.array(*out)
+    return out
+
 
+def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Of ``src, dst, within`` those whose hashes and lengths (which rule out no similar pair) are near enough."""
+    side = lambda at, x: classes.select(F.col("id").alias(at), F.col("h").alias(f"h_{x}"), F.col("len").alias(f"len_{x}"))
+    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity)).select("src", "dst")
 
-def _band_keys(bands: tuple[tuple[int, ...], ...]) -> Column:
-    """A hash for each band of the minima in it, apart from the keys of blocks."""
-    return F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)).bitwiseOR(F.lit(1 << 62)) for k, band in enumerate(bands)))
+
+def _alike(similarity: float) -> Column:
+    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= F.col("within")
+    return near & F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``src, dst`` of classes whose lines are that similar: 1 - edit distance / longer length."""
-    a = texts.select(F.col("id").alias("src"), F.col("norm").alias("x"))
-    b = texts.select(F.col("id").alias("dst"), F.col("norm").alias("y"))
-    longest = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
-    near = pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y", most.alias("most"))
-    # Replacing word by word takes at least as many edits, so if that is few enough, the slow count can be left out.
-    changed = "aggregate(zip_with(split(x, ' '), split(y, ' '), (a, b) -> if(a <=> b, 0, greatest(length(a), length(b), 0))), 0, (n, e) -> n + e)"
-    words = "length(replace(x, ' ', '')) - length(x) = length(replace(y, ' ', '')) - length(y)"
-    # With a limit, levenshtein() gives -1 beyond it.
-    return near.where(
-        f"abs(length(x) - length(y)) <= most and (({words} and {changed} <= most) or levenshtein(x, y, most) >= 0)"
-    ).select("src", "dst")
+def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+    """Pairs ``src, dst`` of classes whose lines are that similar: 1 - edit distance / longer length.  Stored."""
+    pairs = stored(pairs, "candidates")
+    ends = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
+    wanted = stored(classes.select("id", "digest").join(ends, "id"), "wanted")
+    small = wanted.count() <= broadcast_rows
+    texts = every.select("digest", "norm").join(F.broadcast(wanted) if small else wanted, "digest")
+    texts = stored(texts.groupBy("id").agg(F.first("norm").alias("norm")), "texts")
+    a = texts.select(F.col("id").alias("src"), F.split("norm", " ", -1).alias("a"))
+    b = texts.select(F.col("id").alias("dst"), F.split("norm", " ", -1).alias("b"))
+    met = pairs.join(a, "src").join(b, "dst")
+    # Equal words at both ends change no edit distance; what is between them is compared.
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) - 1
+    met = met.select("src", "dst", "a", "b", same(F.col("a"), F.col("b")).cast("int").alias("head"), same(F.reverse("a"), F.reverse("b")).cast("int").alias("tail"))
+    met = met.withColumn("tail", F.least("tail", F.least(F.size("a"), F.size("b")) - F.col("head")))
+    long = lambda c: F.aggregate(c, F.lit(-1), lambda n, w: n + F.length(w) + 1)
+    inner = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail"))
+    met = met.select("src", "dst", long("a").alias("la"), long("b").alias("lb"), inner("a").alias("a"), inner("b").alias("b"))
+    met = met.withColumn("most", F.floor(F.greatest("la", "lb") * (1 - similarity) + 1e-9).cast("int")).where("abs(la - lb) <= most")
+    # Replacing word by word takes at least as many edits, and so does replacing everything; if that is few enough, the count can be left out.
+    changed = "aggregate(zip_with(a, b, (p, q) -> if(p <=> q, 0, greatest(length(p), length(q)))), 0, (n, e) -> n + e)"
+    few = f"(size(a) = size(b) and {changed} <= most)"
+    met = met.select("src", "dst", "most", F.expr(few).alias("few"), F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y"))
+    # With a limit, levenshtein() counts only that far from the diagonal and gives -1 beyond it; most similar lines are found by a small one.
+    steps = " or ".join(f"levenshtein(x, y, {m}) >= 0" for m in ("most div 3", "most"))
+    return stored(met.where(f"few or greatest(length(x), length(y)) <= most or {steps}").select("src", "dst"), "links")
 
 
 def line_groups(
-    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = (), short: bool = False
+    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, far: int = FAR, bands: tuple[tuple[int, ...], ...] = BANDS, broadcast_rows: int = BROADCAST_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies``."""
-    every = lines(docs, 1 if short else min_words)
-    own = every.where(F.col("n_words") >= min_words)
-    # Equal lines have equal hashes; a line of several runs takes the greatest of theirs.
-    classes = simhashes(own).groupBy("digest").agg(
-        F.max("h").alias("h"), F.count_if(F.col("run") == 0).alias("copies"), F.max("len").alias("len"), *(F.min(c).alias(c) for c in _MINS if bands)
-    )
-    classes = stored(classes.withColumn("id", F.xxhash64("digest")), "classes")
-    hashes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    keyed = hashes.select("h", F.explode(_keys(F.col("h"))).alias("key"))
-    m = F.count(F.lit(1)).over(W.partitionBy("key"))
-    met = stored(keyed.select("key", "h", m.alias("m")).where("m > 1").select("key", "h"), "met")
-    # Hashes with another one near; the rest of a block only shares its bits.
-    near = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= radius
-    x, y = met.select("key", F.col("h").alias("ha")), met.select(F.col("key").alias("key_b"), F.col("h").alias("hb"))
-    close = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ha") != F.col("hb")) & near, "left_semi").select("key", F.col("ha").alias("h"))
-    # Classes of one hash meet in a block of their own.
-    alone = hashes.where("n > 1").select(F.col("h").bitwiseOR(F.lit(-(2**63))).alias("key"), "h")
-    blocks = stored(close.union(alone), "blocks")
-    members = blocks.join(classes.select("h", "id", "len"), "h").select("key", "id", "h", "len", F.lit(radius).alias("far"))
-    if bands:
-        banded = classes.select("id", F.explode(_band_keys(bands)).alias("key")).select("key", "id", m.alias("m")).where("m > 1").select("key", "id")
-        banded = stored(banded, "banded").join(classes.select("id", "h", "len"), "id")
-        members = members.union(banded.select("key", "id", "h", "len", F.lit(FAR).alias("far")))
-    members = stored(members, "members")
-    heads = stored(members.groupBy("key").agg(F.min(F.struct("id", "h", "len", "far")).alias("head")).select("key", "head.*"), "heads")
-    wanted = members.select("id").distinct()
-    texts = own.select(F.xxhash64("digest").alias("id"), "norm")
-    wanted = stored(wanted, "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    alike, same_key = _alike(similarity), F.col("key_a") == F.col("key_b")
-    stars = (
-        _ends(members, "a", src="id")
-        .join(_ends(heads, "b", dst="id"), same_key)
-        .where((F.col("src") != F.col("dst")) & alike)
-        .select("src", "dst")
-        .distinct()
-    )
-    links = stored(_verified(stars, texts, similarity), "links")
+    """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies`` of more than one line."""
+    every = lines(docs)
+    classes = simhash_classes(every, min_words, bands)
+    keys = F.array(*_block_keys(F.col("h")), *(F.shiftrightunsigned(F.col(f"b{k}"), 2).bitwiseOR(F.lit(_BAND)) for k in range(len(bands))))
+    keyed = classes.select("id", F.explode(keys).alias("key"))
+    blocks = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1"), "blocks")
+    many = blocks.where("n > 2").select("key", "lo")
+    small = many.count() <= broadcast_rows
+    members = stored(keyed.join(F.broadcast(many) if small else many, "key"), "members")
+    # Hashes that met in blocks are within the radius, those that met in a band may be further apart.
+    within = F.when(F.col("key") >= F.lit(_BAND), far).otherwise(radius).alias("within")
+    met = blocks.where("n = 2").select(F.col("hi").alias("src"), F.col("lo").alias("dst"), within)
+    met = met.union(members.where("id <> lo").select(F.col("id").alias("src"), F.col("lo").alias("dst"), within))
+    met = met.groupBy("src", "dst").agg(F.max("within").alias("within"))
+    links = _verified(_near(met, classes, similarity), classes, every, similarity, broadcast_rows)
     groups = connected_components(links).withColumnRenamed("node", "id")
-    named = stored(members.join(groups, "id", "left").select("key", "id", "h", "len", "far", F.coalesce("component", "id").alias("g")), "named")
-    x, y = _ends(named, "a", src="id", ga="g"), _ends(named, "b", dst="id", gb="g")
-    across = x.join(y, same_key & (F.col("ga") < F.col("gb")) & alike).select("src", "dst").distinct()
-    links = links.union(stored(_verified(across, texts, similarity), "across"))
-    comps = connected_components(links).withColumnRenamed("node", "id")
-    grouped = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("group"), "copies")
-    if short:
-        few = every.where(F.col("n_words") < min_words).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-        grouped = grouped.union(few.select("digest", F.xxhash64("digest").alias("group"), "copies"))
-    return every.select("doc_id", "line_no", "digest"), grouped
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = (), short: bool = False) -> DataFrame:
+
+    named = stored(members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g")), "named")
+    split = stored(named.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("last")).where("least < last").select("key"), "split")
+    open_ = stored(named.join(split, "key").join(classes.select("id", "h", "len"), "id"), "open")
+    end = lambda at, x: open_.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(at), F.col("g").alias(f"g_{x}"), F.col("h").alias(f"h_{x}"), F.col("len").alias(f"len_{x}"))
+    end_b = end("dst", "b").withColumn("within", F.when(F.col("key_b") >= F.lit(_BAND), far).otherwise(radius))
+    across = end("src", "a").join(end_b, (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity))
+    more = _verified(across.select("src", "dst").distinct(), classes, every, similarity, broadcast_rows)
+    comps = connected_components(links.union(more)).withColumnRenamed("node", "id")
+    grouped = classes.select("id", "digest", "copies").join(comps, "id", "left").where("component is not null or copies > 1")
+    grouped = grouped.select("digest", F.coalesce("component", "id").alias("group"), "copies")
+    few = every.where((F.col("n_words") > 0) & (F.col("n_words") < min_words)).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    few = few.select("digest", (-1 - F.monotonically_increasing_id()).alias("group"), "copies")
+    return every.select("doc_id", "line_no", "digest"), stored(grouped.union(few), "groups")
+
+
+@owned
+def repeated_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, far: int = FAR, bands: tuple[tuple[int, ...], ...] = BANDS, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """The lines to remove: ``doc_id, line_no, keep_doc_id, keep_line_no, group_lines``.
 
     In each group of equal and similar lines the one of the smallest (doc_id, line_no) stays.  Lines of
-    fewer than ``min_words`` words are left alone, or with ``short`` compared by digest only; empty ones are left alone; a null text has no lines.  Rows that
+    fewer than ``min_words`` words are grouped by equality only.  Lines without a letter or digit are left alone, and so are
+    empty ones; a null or empty text has no lines, and an empty table gives no row.  A line may have any length up to 2**30 letters; the edit
+    distance of a pair takes time by the product of its length and its distance.  Rows that
     repeat a doc_id are one document: equal lines at the same line_no of it stay together.  Lines
-    of rows without doc_id rank last; if a group has no others, all of its lines stay.  Other
-    columns are ignored; an empty table gives no row.
+    of rows without doc_id rank last; if a group has no others, all of its lines stay.  Only ``doc_id`` and ``text`` are
+    read, so other columns may have any name.
     """
-    occurrences, groups = line_groups(docs, min_words, similarity, radius, bands, short)
-    groups = stored(groups, "groups")
+    occurrences, groups = line_groups(docs.select("doc_id", "text"), min_words, similarity, radius, far, bands, broadcast_rows)
     sizes = groups.groupBy("group").agg(F.sum("copies").alias("group_lines")).where("group_lines > 1")
     named = stored(groups.join(sizes, "group").select("digest", "group", "group_lines"), "repeated")
     found = stored(occurrences.join(named, "digest").select("doc_id", "line_no", "group", "group_lines"), "found")
@@ -218,13 +201,18 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     )
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bands: tuple[tuple[int, ...], ...] = (), short: bool = False) -> DataFrame:
-    """``docs`` without the repeated lines; ``n_chars``, if there, is counted anew where a line went.
+@owned
+def _gone(docs: DataFrame, **options) -> DataFrame:
+    gone = repeated_lines(docs, **options)
+    return gone.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the lines that ``repeated_lines`` names; ``n_chars``, if there, is counted anew where a line went.
 
     A document of which no line is left stays with an empty text; rows without doc_id keep their lines.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words, similarity, radius, bands, short)
-    gone = stored(gone.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
+    gone = _gone(docs, **options)
     names = docs.columns
     gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("gone").alias("gone_lines"))
     own = docs.select(F.struct(*names).alias("row"))

@@ -226,9 +226,7 @@ def edits(a, b):
     return p[-1]
 
 
-def test_line_dedup(spark):
-    import xxhash
-
+def line_rows():
     base = [" ".join(f"w{(i * 7 + j * 13) % 997}x{j % 5}" for j in range(20 + i)) for i in range(12)]
     lines = []
     for b in base:
@@ -239,33 +237,57 @@ def test_line_dedup(spark):
             v[k * 3] = f"q{k}"
             lines.append(" ".join(v) + ("." if k % 2 else ""))
     lines += ["", None, "short line", "A b c d e f", "a, b c D e f!"]
-    rows = [(i, t if t is None else t + "\n\nthe end") for i, t in enumerate(lines)]
-    own = [(r.doc_id, r.line_no, r.norm) for r in line_dedup.lines(docs(spark, rows), 5).collect()]
+    return [(i, t if t is None else t + "\n\nthe end") for i, t in enumerate(lines)]
 
-    def simhash(t):
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split(" ")]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs))
 
-    occ = [(d, n, t, simhash(t)) for d, n, t in own]
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_line_dedup(spark, broadcast_rows):
+    """All pairs of edit similarity 0.8, and equal lines of any number of words; by broadcasts and by shuffles."""
+    rows = line_rows()
+    occ = [(r.doc_id, r.line_no, r.norm, r.n_words) for r in line_dedup.lines(docs(spark, rows)).collect() if r.n_words]
     g = Groups()
     for i, x in enumerate(occ):
         for y in occ[:i]:
             most = int(0.2 * max(len(x[2]), len(y[2])) + 1e-9)
-            if x[2] == y[2] or ((x[3] ^ y[3]).bit_count() <= 3 and edits(x[2], y[2]) <= most):
+            if x[2] == y[2] or (min(x[3], y[3]) >= 5 and edits(x[2], y[2]) <= most):
                 g.join(x[:2], y[:2])
     want = {(*x[:2], *g.find(x[:2])) for x in occ if g.find(x[:2]) != x[:2]}
-    got = {(r.doc_id, r.line_no, r.keep_doc_id, r.keep_line_no) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()}
+    out = line_dedup.repeated_lines(docs(spark, rows), broadcast_rows=broadcast_rows)
+    got = {(r.doc_id, r.line_no, r.keep_doc_id, r.keep_line_no) for r in out.collect()}
     assert got == want and len(got) >= 10
+
+
+def test_line_dedup_cuts_lines_out(spark):
+    rows = line_rows()
     clean = {r.doc_id: r.text for r in line_dedup.without_repeats(docs(spark, rows)).collect()}
-    n = len(lines)
-    assert clean[n - 4] is None and clean[n - 1] == "\nthe end" and clean[n - 3] == "short line\n\nthe end"
+    n = len(rows)
+    assert clean[0].endswith("\nthe end") and clean[n - 4] is None and clean[n - 1] == "" and clean[n - 3] == "short line\n"
     assert line_dedup.repeated_lines(docs(spark, [])).count() == 0
+    assert line_dedup.without_repeats(docs(spark, [])).count() == 0
+
+
+def test_line_dedup_simhash_and_long_lines(spark):
+    """The hash against its definition, on a line of 40,000 words too, of which one that differs in a word is a near copy."""
+    import xxhash
+
+    long = [f"t{i * 7919 % 10007}" for i in range(40_000)]
+    texts = ["a b c d e", "one two two three three three", " ".join(long), " ".join([*long[:-1], "other"])]
+    every = line_dedup.lines(docs(spark, list(enumerate(texts))))
+    got = {r.copies * 0 + r.len: r.h & (1 << 64) - 1 for r in line_dedup.simhash_classes(every, 5, line_dedup.BANDS).collect()}
+    for t in texts[:3]:
+        hs = [(xxhash.xxh64_intdigest(w, 42), len(w)) for w in t.split()]
+        bits = np.unpackbits(np.array([h for h, _ in hs], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        weight = np.array([c for _, c in hs])
+        want = np.packbits((bits * weight[:, None]).sum(axis=0) * 2 > weight.sum(), bitorder="little").view("<u8")[0]
+        assert got[len(t)] == int(want)
+    assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, list(enumerate(texts)))).collect()] == [(3, 2)]
 
 
 def test_line_dedup_compares_lines_of_one_repeated_word(spark):
     """Equal hashes and two edits, but few of the words in common."""
-    rows = [(1, "0 0 0 0 0 0 1 0 0 2"), (2, "0 0 0 0 0 0 3 0 0 4")]
-    assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()] == [(2, 1)]
+    often = " ".join(["alphabet"] * 5)
+    rows = [(1, "0 0 0 0 0 0 1 0 0 2"), (2, "0 0 0 0 0 0 3 0 0 4"), (3, f"{often} b1 b2 b3 b4"), (4, f"{often} c1 c2 c3 c4")]
+    assert sorted((r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()) == [(2, 1), (4, 3)]
 
 
 def test_line_dedup_finds_similar_lines_beyond_the_radius(spark):
@@ -278,12 +300,12 @@ def test_line_dedup_finds_similar_lines_beyond_the_radius(spark):
         v[int(rng.integers(0, len(v)))] = "zz9999"
         rows.append((2 * k + 1, " ".join(v)))
         want.add((2 * k + 1, 2 * k))
-    assert {(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows), **line_dedup.WHOLE).collect()} == want
+    assert {(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()} == want
 
 
 def test_line_dedup_finds_exact_repeats_of_short_lines(spark):
     rows = [(1, "All rights reserved."), (2, "all rights reserved"), (3, ""), (4, ""), (5, "all rights reversed")]
-    assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows), **line_dedup.WHOLE).collect()] == [(2, 1)]
+    assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()] == [(2, 1)]
 
 
 # 6 ------------------------------------------------------------------------------------------------
