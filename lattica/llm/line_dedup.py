@@ -5,7 +5,7 @@ its words.  Two hashes within ``RADIUS`` bits agree in two of five blocks, so cl
 on the ten pairs of blocks.  Edit similarity of 0.8 leaves most similar lines further apart than that (a changed word
 in ten moves about eight bits), and a wider radius has no blocks that tell lines apart, so classes also meet
 where four of sixteen minima over their words' hashes are equal.  Two that met are compared if their hashes are at most
-``RADIUS`` bits apart, in a band ``FAR`` bits, and their lengths allow the similarity; the edit distance decides.
+``RADIUS`` bits apart, in a band ``FAR`` bits with half of the minima equal, and their lengths allow the similarity; the edit distance decides.
 
 Classes that meet in a block of more than two are first compared with the block's smallest; what
 those links connect is one group, and the others are compared only across groups, so a
@@ -27,6 +27,8 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Bits that the hashes of two lines that met in a band may be apart.
 FAR = 18
+#: Of the sixteen minima, those that two lines that met in a band have in common at least.
+COMMON = 8
 MIN_WORDS = 5
 SIMILARITY = 0.8
 #: Digests of lines (24 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
@@ -61,21 +63,20 @@ def lines(docs: DataFrame) -> DataFrame:
     return stored(own, "lines")
 
 
-def simhash_classes(every: DataFrame, min_words: int, bands: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """``id, digest, copies, len, h, b0, b1, ...``: a row for each digest of ``min_words`` words or more, stored.
+def simhash_classes(every: DataFrame, min_words: int) -> DataFrame:
+    """``id, digest, copies, len, h, sk0, sk1, m0, m1, ...``: a row for each digest of ``min_words`` words or more, stored.
 
     A bit of ``h`` is set if words with more than half of the line's letters have it in their hashes: edits count
     letters too, and short words, which all lines have, would make unlike lines near.  Equal lines are combined before the shuffle;
     after it, the words of a class are counted where the class is, without another one.  32 sums of
     two lanes each count the 64 bits; adding what is missing to half of 2**31 makes a lane's top bit tell a
-    majority.  A band's key is a hash of its minima.  ``id`` is unique, as the rows are numbered when they are stored.
+    majority.  ``sk0`` and ``sk1`` have a byte of each minimum.  ``id`` is unique, as the rows are numbered when they are stored.
     """
     own = every.where(F.col("n_words") >= min_words).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("norm").alias("norm"))
     words = own.select("digest", "copies", F.length("norm").alias("len"), F.explode(F.split("norm", " ", -1)).alias("word"))
     words = words.select("digest", "copies", "len", F.xxhash64("word").alias("w"), F.length("word").cast("long").alias("c"))
     turned = lambda k: F.shiftleft("w", 4 * k).bitwiseOR(F.shiftrightunsigned("w", 64 - 4 * k)) if k else F.col("w")
-    used = sorted({j for band in bands for j in band})
-    mins = [F.min(F.shiftright(turned(k).bitwiseXOR(F.lit(_MIXED[k])), 32).cast("int")).alias(f"m{k}") for k in used]
+    mins = [F.min(F.shiftright(turned(k).bitwiseXOR(F.lit(_MIXED[k])), 32).cast("int")).alias(f"m{k}") for k in range(16)]
     sums = [F.sum(F.shiftrightunsigned("w", k).bitwiseAND(F.lit(_LANES)) * F.col("c")).alias(f"s{k}") for k in range(32)]
     counted = words.groupBy("digest").agg(
         F.sum("c").alias("n"), F.max("copies").alias("copies"), F.max("len").alias("len"), *sums, *mins
@@ -84,8 +85,13 @@ def simhash_classes(every: DataFrame, min_words: int, bands: tuple[tuple[int, ..
     bits = F.lit(0).cast("long")
     for k in range(32):
         bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + bump, 30).bitwiseAND(F.lit(_LANES)), k))
-    keys = [F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)).alias(f"b{k}") for k, band in enumerate(bands)]
-    return stored(counted.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "len", bits.alias("h"), *keys), "classes")
+    sketch = [F.lit(0).cast("long"), F.lit(0).cast("long")]
+    for k in range(16):
+        sketch[k // 8] = sketch[k // 8].bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)).cast("long"), 8 * (k % 8)))
+    return stored(
+        counted.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "len", bits.alias("h"), sketch[0].alias("sk0"), sketch[1].alias("sk1"), *(f"m{k}" for k in range(16))),
+        "classes",
+    )
 
 
 def _block_keys(h: Column) -> list[Column]:
@@ -99,15 +105,34 @@ def _block_keys(h: Column) -> list[Column]:
     return out
 
 
-def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Of ``src, dst, within`` those whose hashes and lengths (which rule out no similar pair) are near enough."""
-    side = lambda at, x: classes.select(F.col("id").alias(at), F.col("h").alias(f"h_{x}"), F.col("len").alias(f"len_{x}"))
-    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity)).select("src", "dst")
+def _band_keys(bands: tuple[tuple[int, ...], ...]) -> list[Column]:
+    """A hash of the minima of each band."""
+    keys = (F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)) for k, band in enumerate(bands))
+    return [F.shiftrightunsigned(k, 2).bitwiseOR(F.lit(_BAND)) for k in keys]
+
+
+def _near(pairs: DataFrame, classes: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Of ``src, dst, within`` those that ``_alike`` holds near enough."""
+    side = lambda at, x: classes.select(F.col("id").alias(at), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
+    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity, radius)).select("src", "dst")
+
+
+_SIGNS = ("h", "len", "sk0", "sk1")
+
+
+def _unequal_bytes(x: Column, y: Column) -> Column:
+    z = x.bitwiseXOR(y)
+    for k in (4, 2, 1):
+        z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+    return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def _alike(similarity: float) -> Column:
-    near = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= F.col("within")
-    return near & F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6")
+def _alike(similarity: float, radius: int) -> Column:
+    """Hashes near enough, minima for those that are further apart, and lengths, which rule out no similar pair."""
+    apart = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
+    unequal = _unequal_bytes(F.col("sk0_a"), F.col("sk0_b")) + _unequal_bytes(F.col("sk1_a"), F.col("sk1_b"))
+    near = (apart <= radius) | ((apart <= F.col("within")) & (unequal <= 16 - COMMON))
+    return F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6") & near
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
@@ -132,10 +157,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity
     # Replacing word by word takes at least as many edits, and so does replacing everything; if that is few enough, the count can be left out.
     changed = "aggregate(zip_with(a, b, (p, q) -> if(p <=> q, 0, greatest(length(p), length(q)))), 0, (n, e) -> n + e)"
     few = f"(size(a) = size(b) and {changed} <= most)"
-    met = met.select("src", "dst", "most", F.expr(few).alias("few"), F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y"))
+    # Edits of whole words, each word as one character: so many words, and one for words that share a character, change no more letters than their lengths.
+    sign = lambda c: f"decode(unhex(array_join(transform({c}, w -> hex(4096 + pmod(xxhash64(w), 49152))), '')), 'UTF-16BE')"
+    widest = "(1 + aggregate(concat(a, b), 0, (n, w) -> greatest(n, length(w))))"
+    met = met.select(
+        "src", "dst", "most", F.expr(few).alias("few"), F.expr(f"most div {widest} - 1").alias("most_words"),
+        F.expr(sign("a")).alias("wa"), F.expr(sign("b")).alias("wb"), F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y"),
+    )
     # With a limit, levenshtein() counts only that far from the diagonal and gives -1 beyond it; most similar lines are found by a small one.
     steps = " or ".join(f"levenshtein(x, y, {m}) >= 0" for m in ("most div 3", "most"))
-    return stored(met.where(f"few or greatest(length(x), length(y)) <= most or {steps}").select("src", "dst"), "links")
+    return stored(met.where(f"few or greatest(length(x), length(y)) <= most or (most_words > 0 and levenshtein(wa, wb, most_words) >= 0) or {steps}").select("src", "dst"), "links")
 
 
 def line_groups(
@@ -143,9 +174,8 @@ def line_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies`` of more than one line."""
     every = lines(docs)
-    classes = simhash_classes(every, min_words, bands)
-    keys = F.array(*_block_keys(F.col("h")), *(F.shiftrightunsigned(F.col(f"b{k}"), 2).bitwiseOR(F.lit(_BAND)) for k in range(len(bands))))
-    keyed = classes.select("id", F.explode(keys).alias("key"))
+    classes = simhash_classes(every, min_words)
+    keyed = classes.select("id", F.explode(F.array(*_block_keys(F.col("h")), *_band_keys(bands))).alias("key"))
     blocks = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1"), "blocks")
     many = blocks.where("n > 2").select("key", "lo")
     small = many.count() <= broadcast_rows
@@ -155,15 +185,15 @@ def line_groups(
     met = blocks.where("n = 2").select(F.col("hi").alias("src"), F.col("lo").alias("dst"), within)
     met = met.union(members.where("id <> lo").select(F.col("id").alias("src"), F.col("lo").alias("dst"), within))
     met = met.groupBy("src", "dst").agg(F.max("within").alias("within"))
-    links = _verified(_near(met, classes, similarity), classes, every, similarity, broadcast_rows)
+    links = _verified(_near(met, classes, similarity, radius), classes, every, similarity, broadcast_rows)
     groups = connected_components(links).withColumnRenamed("node", "id")
 
     named = stored(members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g")), "named")
     split = stored(named.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("last")).where("least < last").select("key"), "split")
-    open_ = stored(named.join(split, "key").join(classes.select("id", "h", "len"), "id"), "open")
-    end = lambda at, x: open_.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(at), F.col("g").alias(f"g_{x}"), F.col("h").alias(f"h_{x}"), F.col("len").alias(f"len_{x}"))
+    open_ = stored(named.join(split, "key").join(classes.select("id", *_SIGNS), "id"), "open")
+    end = lambda at, x: open_.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(at), F.col("g").alias(f"g_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
     end_b = end("dst", "b").withColumn("within", F.when(F.col("key_b") >= F.lit(_BAND), far).otherwise(radius))
-    across = end("src", "a").join(end_b, (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity))
+    across = end("src", "a").join(end_b, (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity, radius))
     more = _verified(across.select("src", "dst").distinct(), classes, every, similarity, broadcast_rows)
     comps = connected_components(links.union(more)).withColumnRenamed("node", "id")
     grouped = classes.select("id", "digest", "copies").join(comps, "id", "left").where("component is not null or copies > 1")
