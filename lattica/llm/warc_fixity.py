@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stored
+from lattica.llm.common import owned, stored
+
+
+#: Nodes that differ (24 bytes each) up to which they are broadcast to the level below.
+BROADCAST_ROWS = 1_000_000
 
 
 def record(url: Column, payload: Column) -> Column:
@@ -83,6 +87,7 @@ def tree(records: DataFrame, fanout: int = 16) -> list[DataFrame]:
     return levels
 
 
+@owned
 def audit(replica_a: DataFrame, replica_b: DataFrame, fanout: int = 16) -> DataFrame:
     """Ids whose records differ: ``id, status, offset_a, length_a, digest_a, offset_b, length_b, digest_b``.
 
@@ -100,23 +105,33 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, fanout: int = 16) -> DataF
         while len(levels) < height:
             levels.append(stored(above(levels[-1], fanout), "level"))
 
-    def both(k: int) -> DataFrame:
-        a, b = (
-            s[k].select("node", *(F.col(c).alias(f"{c}_{x}") for c in ("bytes", "digest"))) for s, x in zip(sides, "ab", strict=True)
-        )
-        return a.join(b, "node", "full")
+    def both(k: int, parents: DataFrame | None = None) -> DataFrame:
+        """Level ``k`` of the two replicas side by side; only children of ``parents`` are joined."""
+        ends = []
+        for s, x in zip(sides, "ab", strict=True):
+            level = s[k].select("node", _parent(fanout).alias("up"), *(F.col(c).alias(f"{c}_{x}") for c in ("bytes", "digest")))
+            ends.append(level if parents is None else level.join(parents.select("up"), "up", "left_semi"))
+        return ends[0].drop("up").join(ends[1].drop("up"), "node", "full")
 
     differs = ~F.col("digest_a").eqNullSafe(F.col("digest_b"))
     start = lambda x: F.coalesce(F.sum(f"bytes_{x}").over(W.partitionBy("up").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     top = both(height - 1).withColumn("up", F.lit(0)).select("*", start("a").alias("offset_a"), start("b").alias("offset_b"))
     bad = stored(top.where(differs), "differ")
     for k in range(height - 2, -1, -1):
+        differing = bad.limit(BROADCAST_ROWS + 1).count()
+        if not differing:
+            return _told(bad)
         parents = bad.select(F.col("node").alias("up"), F.col("offset_a").alias("base_a"), F.col("offset_b").alias("base_b"))
-        below = both(k).withColumn("up", _parent(fanout)).join(parents, "up")
+        parents = F.broadcast(parents) if differing <= BROADCAST_ROWS else parents
+        below = both(k, parents).withColumn("up", _parent(fanout)).join(parents, "up")
         placed = below.select(
             "*", (F.col("base_a") + start("a")).alias("offset_a"), (F.col("base_b") + start("b")).alias("offset_b")
         ).drop("base_a", "base_b")
         bad = stored(placed.where(differs), "differ")
+    return _told(bad)
+
+
+def _told(bad: DataFrame) -> DataFrame:
     status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("altered")
     return bad.select(
         F.col("node").alias("id"),
