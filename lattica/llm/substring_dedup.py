@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches, stored
+from lattica.llm.common import owned, small_batches, stored
 
 #: A unit: up to the end of a sentence or of the line; line ends are in no unit.
-_UNIT = re.compile(r"[^\n.!?]*[.!?]+(?=[ \t\n]|$)|[^\n.!?]+(?:[.!?]+[^\s.!?][^\n.!?]*)*[.!?]*")
+#: Marks before a letter are in none either; nothing is read twice, so that a run of a million marks takes no longer than words.
+_UNIT = re.compile(r"[^\n.!?]*+[.!?]++(?=[ \t\n]|$)|[^\n.!?]++(?:[.!?]++[^\s.!?][^\n.!?]*+)*+[.!?]*+|(?P<marks>[.!?]++)")
 
 
 def units(text: str | None) -> Iterator[tuple[int, int]]:
     """``(start, end)`` of the units of a text, in code points, without white space at their ends."""
     for m in _UNIT.finditer(text or ""):
-        raw = m.group()
+        raw = "" if m.lastgroup else m.group()
         lead = len(raw) - len(raw.lstrip())
         if end := len(raw.rstrip()):
             yield m.start() + lead, m.start() + end
@@ -103,6 +104,7 @@ def hashed_units(docs: DataFrame, min_words: int) -> DataFrame:
 _COLUMNS = ["uid", "doc_id", "unit", "start", "end", "n_words", "d1", "d2", "again"]
 
 
+@owned
 def repeated_units(docs: DataFrame, min_words: int = 7) -> DataFrame:
     """The units to remove: ``doc_id, unit, start, end, n_words, first_doc_id, copies``.
 
