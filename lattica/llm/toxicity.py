@@ -9,7 +9,7 @@ and not from fitted answers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -139,18 +139,18 @@ def best_cut(p: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
     return float((p[order[k]] + (p[order[k + 1]] if k + 1 < len(p) else 0)) / 2)
 
 
-def train(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, categories: list[str], min_docs: int = 4, max_words: int = 200_000) -> Chain:
+def train(texts: list[str | None] | _Texts, labels: np.ndarray, folds: np.ndarray, categories: list[str], min_docs: int = 4, max_words: int = 200_000) -> Chain:
     """Fit a chain; ``labels`` has a 0/1 column for each category, ``folds`` the fold of each row.
 
     The vocabulary is the features in at least ``min_docs`` of the texts, at most ``max_words`` of them;
     the fitted chain keeps those that have a weight.
     """
-    number: dict[str, int] = {}
-    # As numbers from the start: the words of all texts as strings would not fit a small driver.
-    found = [np.fromiter((number.setdefault(w, len(number)) for w in features(t)), np.int32) for t in texts]
+    own = texts if isinstance(texts, _Texts) else _Texts(texts)
+    number, found = own.number, own.found
+    rows = len(found)
     start = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64)
     every = np.concatenate(found) if found else np.array([], np.int32)
-    del found
+    del found, own
     seen = np.bincount(every, minlength=len(number))
     kept = sorted((w for w, i in number.items() if seen[i] >= min_docs), key=lambda w: (-seen[number[w]], w))[:max_words]
     chain, size = Chain({w: i for i, w in enumerate(kept)}, categories), len(kept)
@@ -159,9 +159,9 @@ def train(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, catego
     del number
     x = Rows(to[every] if len(every) else every.astype(np.int64), start)
     x = Rows(x.index[x.index >= 0], np.concatenate(([0], np.cumsum(x.index >= 0)))[x.start])
-    dense = np.zeros((len(texts), 0))
+    dense = np.zeros((rows, 0))
     for k, name in enumerate(categories):
-        y, out = labels[:, k].astype(float), np.zeros(len(texts))
+        y, out = labels[:, k].astype(float), np.zeros(rows)
         for fold in np.unique(folds):
             inside, outside = np.flatnonzero(folds == fold), np.flatnonzero(folds != fold)
             if not len(outside):
@@ -187,9 +187,27 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories.values())))
     told = told.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id")
-    got = rows.orderBy("doc_id", "text").limit(sample).toPandas()
-    folds = np.array([_fold(t, n_folds) for t in got["text"]], int)
-    return train(got["text"].tolist(), got[[f"y{k}" for k in range(len(categories))]].to_numpy().reshape(len(got), len(categories)), folds, list(categories))
+    texts = _Texts()
+    labels, folds = [], []
+    for r in rows.orderBy("doc_id", "text").limit(sample).toLocalIterator():
+        texts.add(r["text"])
+        labels.append([r[f"y{k}"] for k in range(len(categories))])
+        folds.append(_fold(r["text"], n_folds))
+    return train(texts, np.array(labels, int).reshape(len(labels), len(categories)), np.array(folds, int), list(categories))
+
+
+class _Texts:
+    """The features of texts as numbers, so that the driver holds no more than one text."""
+
+    def __init__(self, texts: Iterable[str | None] = ()):
+        self.number: dict[str, int] = {}
+        self.found: list[np.ndarray] = []
+        for t in texts:
+            self.add(t)
+
+    def add(self, text: str | None) -> None:
+        number = self.number
+        self.found.append(np.fromiter((number.setdefault(w, len(number)) for w in features(text)), np.int32))
 
 
 def _fold(text: str | None, n: int) -> int:
