@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import os
 import tempfile
 import uuid
@@ -107,6 +108,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tile_count(spark: SparkSession, n: int, least: int, largest: int) -> int:
+    """Tiles to cut ``n`` rows into when all pairs of tiles are compared.
+
+    A tile travels once for each partner, so what is shuffled grows with rows times tiles: no more tiles than make eight
+    tasks for each slot, unless they would be larger than ``largest``, nor so many that they are smaller than ``least``.
+    """
+    enough = math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism))
+    return max(1, -(-n // largest), min(-(-n // least), enough))
+
+
 def signature(df: DataFrame, *cols: str) -> tuple[int, int]:
     """Row count and an order-free hash of the rows."""
     row = df.agg(

@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stored
+from lattica.llm.common import owned, stored
 
 SPAN = 9
 #: Tokens that a mask ignores.
@@ -69,6 +69,7 @@ def window_hashes(words: Column, span: int, skips: tuple[tuple[int, ...], ...])
     return F.get(F.transform(F.array(words), at), F.lit(0))
 
 
+@owned
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, doc_start, item_start, tokens, equal``: items that a document holds, each once.
 
@@ -143,7 +144,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
     )
 
 
+@owned
+def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return overlaps(docs, benchmark).select("doc_id").distinct()
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; rows without doc_id stay."""
-    found = stored(overlaps(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct(), "contaminated")
+    found = _contaminated(docs.select("doc_id", "text"), benchmark)
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)

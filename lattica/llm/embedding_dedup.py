@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import connected_components, stored
+from lattica.llm.common import connected_components, owned, stored, tile_count
 from lattica.llm.simhash_dedup import Forest
 
 #: Slack of the bounds: far above rounding in double precision, far below any decision.
@@ -26,7 +26,8 @@ SLACK = 1e-9
 
 
 def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision; scaled by powers of two first, so that squares of extreme components stay finite."""
+    x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(axis=1, keepdims=True))[1]) for z in (x, y))
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
@@ -100,7 +101,8 @@ def _of_one_width(classes: DataFrame, dim: int, threshold: float, tile: int, ste
     """``kind, x, y``: kind 0, links of class x to y vectors of other classes; kind 1, an edge."""
     spark = classes.sparkSession
     n = classes.count()
-    parts = max(1, -(-n // tile))
+    parts = tile_count(spark, n, tile, max(tile, (1 << 26) // (8 * dim)))
+    tile = -(-2 * n // parts)
     axes = principal_axes(classes, dim)
     first = axes[:, 0].copy()
 
@@ -155,7 +157,7 @@ def _of_one_width(classes: DataFrame, dim: int, threshold: float, tile: int, ste
         return tiles.select(F.col("tile").alias(name), *(F.col(c).alias(c + name) for c in ("ids", "ns", "vs")))
 
     work = pairs.join(side("a"), "a").join(side("b"), "b").repartition(
-        max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts * parts // 8), "a", "b"
+        max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts * (parts + 1) // 2), "a", "b"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +191,7 @@ def _of_one_width(classes: DataFrame, dim: int, threshold: float, tile: int, ste
     return work.mapInArrow(compare, "kind int, x long, y long")
 
 
+@owned
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = 2048, step: int = 16) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding``).
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from lattica.llm.common import connected_components, small_batches, stored
+from lattica.llm.common import connected_components, owned, small_batches, stored, tile_count
 
 SEED = 42
 _CHUNK = 1 << 15
@@ -103,14 +103,16 @@ def link_tiles(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int
     return forest.edges()
 
 
-def near_links(groups: DataFrame, radius: int = 4, tile: int = 8192) -> DataFrame:
+def near_links(groups: DataFrame, radius: int = 4, tile: int = 8192, largest: int = 262_144) -> DataFrame:
     """``src, dst``: ids of ``groups`` (``fp, id``; one row for each fingerprint) that links connect.
 
-    Not every link, but enough of them to connect what all links connect.
+    Not every link, but enough of them to connect what all links connect.  ``tile`` is the least, ``largest`` the most
+    rows of a tile: see ``tile_count``.
     """
     spark = groups.sparkSession
     n = groups.count()
-    parts = max(1, -(-n // tile))
+    parts = tile_count(spark, n, tile, largest)
+    tile = -(-2 * n // parts)
     ordered = (
         groups.where("id is not null")
         .withColumn("pop", F.bit_count("fp").cast("int"))
@@ -160,7 +162,7 @@ def near_links(groups: DataFrame, radius: int = 4, tile: int = 8192) -> DataFram
     work = (
         pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa"), F.col("ids").alias("ia")), "a")
         .join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb"), F.col("ids").alias("ib")), "b")
-        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts * parts // 16), "a", "b")
+        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts * (parts + 1) // 2), "a", "b")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +178,7 @@ def near_links(groups: DataFrame, radius: int = 4, tile: int = 8192) -> DataFram
     return work.mapInArrow(compare, "src long, dst long")
 
 
+@owned
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, tile: int = 8192) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs`` (``doc_id, text``; other columns are ignored).
 
@@ -199,11 +202,16 @@ def hex_fingerprint(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+@owned
+def _later(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """The ids that have a smaller one in their component."""
+    return near_duplicates(docs, radius, shingle).where("doc_id > component_id").select("doc_id").distinct()
+
+
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; rows without doc_id stay.
 
     Repeated rows of the kept doc_id all stay: a doc_id stands for one document.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), radius, shingle)
-    drop = stored(found.where("doc_id > component_id").select("doc_id").distinct(), "drop")
+    drop = _later(docs.select("doc_id", "text"), radius, shingle)
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
