@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions import kernels
 from lattica.functions.scalars import default_width
-from lattica.operators import geometry, match, stats
-from lattica.operators.reshape import CATALOGUE, Step, chain_forward, chain_inverse, forward
+from lattica.operators import geometry, match, matrices, stats
+from lattica.operators.reshape import CATALOGUE, Step
 from lattica.plans import advisor, quadtree
 from lattica.sources import blobs as src
 
@@ -33,6 +35,14 @@ def row_sums(cells: DataFrame) -> DataFrame:
     ).select(F.col("blob_id").alias("doc_id"), F.col("y").cast("int").alias("y"), "total", "by_column")
 
 
+def named(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("blob_id", "doc_id")
+
+
+def folded(spark, d, width: int = 64) -> DataFrame:
+    return matrices.matrices(documents(spark, d), width)
+
+
 def s6_unfold(spark, d):
     b = src.unfold(documents(spark, d))
     return b.groupBy(F.col("blob_id").alias("doc_id")).agg(
@@ -41,7 +51,7 @@ def s6_unfold(spark, d):
 
 
 def s7_fold(spark, d):
-    return row_sums(src.fold(documents(spark, d)))
+    return named(matrices.row_sums(matrices.matrices(documents(spark, d))))
 
 
 def s8_flatten(spark, d):
@@ -57,15 +67,15 @@ def s13_segments(spark, d):
 
 
 def a1_byte_histogram(spark, d):
-    return stats.histogram(src.unfold(documents(spark, d))).select("v", "n")
+    return matrices.histogram(documents(spark, d)).groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def a2_entropy(spark, d):
-    return stats.entropy(stats.histogram(src.unfold(documents(spark, d)), "blob_id"), "blob_id").withColumnRenamed("blob_id", "doc_id")
+    return stats.entropy(matrices.histogram(documents(spark, d)), "blob_id").withColumnRenamed("blob_id", "doc_id")
 
 
 def a3_most_frequent(spark, d):
-    return stats.most_frequent(stats.histogram(src.unfold(documents(spark, d)), "blob_id"), "blob_id").withColumnRenamed("blob_id", "doc_id")
+    return stats.most_frequent(matrices.histogram(documents(spark, d)), "blob_id").withColumnRenamed("blob_id", "doc_id")
 
 
 def a13_crc32(spark, d):
@@ -90,25 +100,35 @@ STEPS = {
 
 
 def reshaped(step: Step, spark, d):
-    return row_sums(forward(src.fold(documents(spark, d), 64), step))
+    return named(matrices.row_sums(matrices.forward(folded(spark, d), step)))
 
 
 def r9_chain_roundtrip(spark, d):
-    cells = src.fold(documents(spark, d), 64).select("blob_id", "y", "x", "v")
+    """What every chain makes of all documents, by row sums, and how many of its matrices don't come back."""
+    before = folded(spark, d)
     out = None
     for k, chain in enumerate(CATALOGUE):
-        bad = geometry.unequal_cells(cells, chain_inverse(chain_forward(cells, chain), chain))
-        one = bad.agg(F.count(F.lit(1)).alias("unequal")).select(F.lit(k).alias("chain"), "unequal")
+        made = matrices.forward(before, *chain)
+        sums = matrices.row_sums(made).agg(F.sum("total").alias("total"), F.sum("by_column").alias("by_column"))
+        bad = matrices.mapped(before, partial(_lost, chain)).agg(F.count_if(F.expr("content <> X'00'")).alias("unequal"))
+        one = sums.crossJoin(bad).select(F.lit(k).alias("chain"), "unequal", "total", "by_column")
         out = one if out is None else out.union(one)
     return out
 
 
+def _lost(chain, m):
+    """One byte: 1 if the chain doesn't give the matrix back."""
+    steps = [(x.kind, x.k) for x in chain]
+    made = kernels.chain_forward(m.tobytes(), m.shape[1], steps)
+    return np.array([[kernels.chain_inverse(made, m.shape[1], m.size, steps) != m.tobytes()]], np.uint8)
+
+
 def p1_view(spark, d):
     return row_sums(geometry.view(src.fold(documents(spark, d), 64), 8, 2, 16, 1 << 30))
 
 
 def p2_decimate(spark, d):
-    return row_sums(geometry.decimate(src.fold(documents(spark, d), 64)))
+    return named(matrices.row_sums(matrices.decimate(folded(spark, d))))
 
 
 def p3_isometry(spark, d):
@@ -120,17 +140,15 @@ def p3_isometry(spark, d):
 
 
 def p6_value_map(spark, d):
-    cells = src.fold(documents(spark, d), 64)
-    return row_sums(cells.withColumn("v", geometry.value_map(geometry.value_map(F.col("v"), 1, 77), 2, 0x5A)))
+    return named(matrices.row_sums(matrices.mapped(folded(spark, d), lambda m: matrices.valued(matrices.valued(m, 1, 77), 2, 0x5A))))
 
 
 def p8_residual(spark, d):
-    cells = src.fold(documents(spark, d), 64)
-    return row_sums(geometry.residual(cells, forward(cells, Step("up-sub"))))
+    return named(matrices.row_sums(matrices.residual(folded(spark, d), lambda m: kernels.forward(m, "up-sub", 0))))
 
 
 def p12_pad(spark, d):
-    return row_sums(geometry.padded(src.fold(documents(spark, d), 72), 16, 9))
+    return named(matrices.row_sums(matrices.padded(folded(spark, d, 72), 16, 9)))
 
 
 def a6_skip_count(spark, d):
@@ -236,6 +254,27 @@ def _lag(part: str, order: str, k: int, op: str) -> str:
     return _cells("64") + f", made AS (SELECT doc_id, y, x, {v} AS v FROM cells)" + _SUMS.format("made")
 
 
+def _chains() -> str:
+    """Row sums of every chain of the catalogue: each step is SQL over the one before."""
+    parts, ctes = [], [_cells("64").rstrip().removeprefix("WITH ")]
+    for k, chain in enumerate(CATALOGUE):
+        at = "high"
+        for i, step in enumerate(chain):
+            own = f"c{k}_{i}"
+            if step.kind == "bitplanes":
+                made = f"SELECT doc_id, p * h + y AS y, x // 8 AS x, bit_or(((v >> p::INT) & 1) << (x % 8)) AS v FROM {at}, range(8) AS r(p) GROUP BY doc_id, p * h + y, x // 8"
+            elif step.kind == "deint":
+                made = f"SELECT doc_id, (x % {step.k}) * h + y AS y, x // {step.k} AS x, v FROM {at}"
+            else:
+                part, order = ("y", "x") if step.kind.startswith("left") else ("x", "y")
+                before = f"coalesce(lag(v) OVER (PARTITION BY doc_id, {part} ORDER BY {order}), 0)"
+                made = f"SELECT doc_id, y, x, {f'(v - {before} + 256) % 256' if step.kind.endswith('sub') else f'xor(v, {before})'} AS v FROM {at}"
+            ctes.append(f"{own} AS (SELECT *, max(y) OVER (PARTITION BY doc_id) + 1 AS h FROM ({made}))")
+            at = own
+        parts.append(f"SELECT {k} AS chain, 0::BIGINT AS unequal, sum(v)::BIGINT AS total, sum(v * (x + 1))::BIGINT AS by_column FROM {at}")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+
+
 _ISO = ["(x, y)", "(y, 63 - x)", "(63 - x, 63 - y)", "(63 - y, x)", "(63 - x, y)", "(x, 63 - y)", "(y, x)", "(63 - y, 63 - x)"]
 
 
@@ -271,7 +310,7 @@ SELECT doc_id, v FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id
         "r5_bitplanes": _cells("64") + """, made AS (SELECT doc_id, p * h + y AS y, (x // 8) AS x, bit_or(((v >> p::INT) & 1) << (x % 8)) AS v
   FROM high, range(8) AS r(p) GROUP BY doc_id, p * h + y, x // 8)""" + _SUMS.format("made"),
         "r6_deinterleave": _cells("64") + ", made AS (SELECT doc_id, (x % 4) * h + y AS y, x // 4 AS x, v FROM high)" + _SUMS.format("made"),
-        "r9_chain_roundtrip": f"SELECT i::INT AS chain, 0::BIGINT AS unequal FROM range({len(CATALOGUE)}) AS t(i)",
+        "r9_chain_roundtrip": _chains(),
         "p1_view": _cells("64") + ", made AS (SELECT doc_id, y - 2 AS y, x - 8 AS x, v FROM cells WHERE x BETWEEN 8 AND 23 AND y >= 2)" + _SUMS.format("made"),
         "p2_decimate": _cells("64") + ", made AS (SELECT doc_id, y // 2 AS y, x // 2 AS x, v FROM cells WHERE x % 2 = 0 AND y % 2 = 0)" + _SUMS.format("made"),
         "p3_isometry": _isometries(),
