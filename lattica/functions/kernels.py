@@ -124,3 +124,33 @@ def detect_widths(data: bytes, most: int = 3, sample: int = 16384) -> list[int]:
         if len(out) < most and not any(g % x == 0 for x in out):
             out.append(int(g))
     return out
+
+
+#: Base and modulus of rolling hashes.
+ROLL, PRIME = 263, (1 << 31) - 1
+
+_CRC = 0xEDB88320
+
+
+def _times(matrix: list[int], v: int) -> int:
+    out = 0
+    for row in matrix:
+        if v & 1:
+            out ^= row
+        v >>= 1
+    return out
+
+
+def crc_joined(a: int, b: int, n: int) -> int:
+    """CRC-32 of two parts together, from those of the parts and the length of the second one.
+
+    Adding a zero bit is a linear map of 32 bits; ``n`` bytes of them are its power by squaring.
+    """
+    step = [_CRC, *(1 << k for k in range(31))]
+    n *= 8
+    while n:
+        if n & 1:
+            a = _times(step, a)
+        step = [_times(step, row) for row in step]
+        n >>= 1
+    return a ^ b

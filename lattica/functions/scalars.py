@@ -30,12 +30,6 @@ def default_width(n: Column) -> Column:
     return F.greatest(F.lit(8), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(root, F.lit(1)))))).cast("int")
 
 
-def default_width_of(n: int) -> int:
-    from math import isqrt
-
-    return max(8, 1 << max(0, isqrt(max(n, 1)).bit_length() - 1))
-
-
 def zigzag(v: Column) -> Column:
     """0, -1, 1, -2, ... to 0, 1, 2, 3, ..."""
     v = v.cast("long")
@@ -66,13 +60,28 @@ def format_size(n: int) -> str:
 def video_rows(spec: str) -> tuple[int, int]:
     """``(bytes a row, rows a frame)`` of ``"WxH"`` or ``"WxH:format"``; the format is bgr24 if not given."""
     m = re.fullmatch(r"(\d+)x(\d+)(?::(\w+))?", spec)
-    if not m or (m[3] or "bgr24") not in PIXELS:
+    if not m or (m[3] or "bgr24").lower() not in PIXELS:
         raise ValueError(f"not a video size: {spec!r}")
     w, h = int(m[1]), int(m[2])
-    each, up, down = PIXELS[m[3] or "bgr24"]
+    each, up, down = PIXELS[(m[3] or "bgr24").lower()]
     if not w or not h or h * up % down:
         raise ValueError(f"not a video size: {spec!r}")
     rows = h * up // down
     if rows > 65535:
         raise ValueError("a frame has more than 65535 rows")
     return w * each, rows
+
+
+def bit_length(n: Column) -> Column:
+    """Bits of a number that is not negative; none for zero."""
+    return F.when(n == 0, 0).otherwise(F.length(F.bin(n.cast("long"))))
+
+
+def uvarint_size(n: Column) -> Column:
+    """Bytes of a number that is not negative in groups of seven bits."""
+    return F.greatest(F.lit(1), F.ceil(bit_length(n) / 7).cast("int"))
+
+
+def round_up(n: Column, k: int) -> Column:
+    """The next multiple of ``k``."""
+    return n + F.pmod(-n, F.lit(k))

@@ -71,13 +71,18 @@ def _axis(step: Step):
 def forward(cells: DataFrame, step: Step) -> DataFrame:
     """``blob_id, y, x, v`` after one step.  Height and width are taken from the cells of each blob."""
     cells = cells.select("blob_id", "y", "x", "v")
+    n = {"bitplanes": 8, "deint": step.k}.get(step.kind, 1)
+    if n > 1:
+        whole = W.partitionBy("blob_id")
+        wide = F.max("x").over(whole) + 1
+        fits = F.when(wide % n == 0, F.max("y").over(whole) + 1).otherwise(F.raise_error(F.lit(f"{step.kind} needs a width that {n} divides")).cast("int"))
     if step.kind == "bitplanes":
-        high = cells.withColumn("h", F.max("y").over(W.partitionBy("blob_id")) + 1)
+        high = cells.withColumn("h", fits)
         planes = high.select("blob_id", "y", "x", "h", "v", F.explode(F.array(*map(F.lit, range(8)))).alias("p"))
         bit = F.expr("shiftleft(shiftright(v, p) & 1, x % 8)")
         return planes.groupBy("blob_id", (F.col("p") * F.col("h") + F.col("y")).alias("y"), F.expr("cast(x div 8 as int)").alias("x")).agg(F.bit_or(bit).alias("v"))
     if step.kind == "deint":
-        high = cells.withColumn("h", F.max("y").over(W.partitionBy("blob_id")) + 1)
+        high = cells.withColumn("h", fits)
         return high.select("blob_id", F.expr(f"(x % {step.k}) * h + y").alias("y"), F.expr(f"cast(x div {step.k} as int)").alias("x"), "v")
     part, order, k = _axis(step)
     before = F.coalesce(F.lag("v", k).over(W.partitionBy(*part).orderBy(order)), F.lit(0))

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import kernels
-from lattica.functions.scalars import default_width
-from lattica.operators import geometry, match, matrices, stats
+from lattica.functions.scalars import bit_length, default_width, round_up, uvarint_size, zigzag
+from lattica.operators import geometry, match, matrices, records, stats
 from lattica.operators.reshape import CATALOGUE, Step
 from lattica.plans import advisor, quadtree
 from lattica.sources import blobs as src
+from lattica.sources import container
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,7 @@ def s7_fold(spark, d):
 def s8_flatten(spark, d):
     blobs = documents(spark, d).where("octet_length(content) > 0")
     back = src.flatten(src.fold(blobs), blobs.select("blob_id", F.octet_length("content").alias("n")))
-    both = blobs.join(back.select("blob_id", F.col("content").alias("again")), "blob_id", "left")
-    return both.select(F.col("blob_id").alias("doc_id"), F.coalesce(F.col("content") == F.col("again"), F.lit(False)).alias("ok"))
+    return back.select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
 
 
 def s13_segments(spark, d):
@@ -220,8 +220,92 @@ def a11_segment_modes(spark, d):
 def s11_container_roundtrip(spark, d):
     blobs = documents(spark, d)
     again = advisor.decoded(advisor.encoded(blobs, advisor.options("fast")))
-    both = blobs.join(again.select("blob_id", F.col("content").alias("again")), "blob_id", "left")
-    return both.select(F.col("blob_id").alias("doc_id"), F.coalesce(F.col("content") == F.col("again"), F.lit(False)).alias("ok"))
+    return again.select(F.col("blob_id").alias("doc_id"), F.md5("content").alias("digest"))
+
+
+def s12_container_bytes(spark, d):
+    """Containers of bytes, the larger blobs in super-segments of 16 KiB, and back."""
+    made = container.containers(documents(spark, d), advisor.options("fastest"), 16384)
+    return container.contents(made).select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
+
+
+def s13_reassemble(spark, d):
+    whole = container.reassembled(src.segments(documents(spark, d), 1024))
+    return whole.select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
+
+
+def s21_comparators(spark, d):
+    return records.comparators(pages(spark, d)).withColumnRenamed("blob_id", "page_id")
+
+
+def f1_integers(spark, d):
+    n = F.octet_length("content").cast("long")
+    return documents(spark, d).select(
+        F.col("blob_id").alias("doc_id"), n.alias("n"), bit_length(n).cast("int").alias("bits"), uvarint_size(n).cast("int").alias("bytes"),
+        round_up(n, 64).cast("long").alias("rounded"), zigzag(n - 1000).alias("zig"),
+    )
+
+
+COLUMNS = ["l_partkey", "l_suppkey"]
+
+
+def w5_delta_columns(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", *COLUMNS)
+    return records.delta_columns(lines, ["l_orderkey"], ["l_linenumber", *COLUMNS], COLUMNS)
+
+
+def w5_undelta_columns(spark, d):
+    return records.undelta_columns(w5_delta_columns(spark, d), ["l_orderkey"], COLUMNS)
+
+
+def w6_rolling_hash(spark, d):
+    return named(records.rolling_hashes(documents(spark, d)))
+
+
+def w7_split_offsets(spark, d):
+    return records.split_offsets(spark.read.parquet(f"{d}/documents.parquet"), "source")
+
+
+def j8_spot_lag(spark, d):
+    return named(records.repeats_at(documents(spark, d), 16))
+
+
+def a13_segment_crc(spark, d):
+    """The checksum of each document from those of its segments, and whether it is the document's own."""
+    blobs = documents(spark, d)
+    joined = records.crc_of_segments(src.segments(blobs, 512))
+    own = blobs.select("blob_id", F.crc32("content").alias("own"))
+    return joined.join(own, "blob_id").select(F.col("blob_id").alias("doc_id"), "n", (F.col("crc") == F.col("own")).alias("same"))
+
+
+def a10_tile_stats(spark, d):
+    tiles = matrices.tiles(matrices.matrices(pages(spark, d), 128), 64)
+    return records.tile_stats(advisor.encoded(tiles, advisor.options("fastest"), "x0", "y0"))
+
+
+def p7_fused(spark, d):
+    """Whole tiles of 16 x 16, decimated, turned by a quarter and raised by 5."""
+    tiles = matrices.tiles(matrices.padded(folded(spark, d), 16, 0), 16)
+    made = matrices.oriented(tiles.select(F.struct("blob_id", "x0", "y0").alias("blob_id"), "w", "h", "content"), 1, True, 1, 5)
+    sums = matrices.row_sums(made)
+    return sums.select(F.col("blob_id.blob_id").alias("doc_id"), F.col("blob_id.x0").alias("x0"), F.col("blob_id.y0").alias("y0"), "y", "total", "by_column")
+
+
+def p9_flat_blocks(spark, d):
+    return named(records.flat_blocks(src.fold(documents(spark, d), 64).select("blob_id", "y", "x", "v"), 4))
+
+
+def p11_tiles(spark, d):
+    tiles = matrices.tiles(folded(spark, d), 24)
+    return tiles.select(F.col("blob_id").alias("doc_id"), "x0", "y0", "w", "h", F.md5("content").alias("digest")).drop("digest")
+
+
+def j11_shared_cells(spark, d):
+    """Squares of 8 that start at every fourth column of a document's first 64, one for each KiB: neighbours share 4 columns."""
+    n = F.expr("cast(octet_length(content) div 1024 as int)")
+    ranges = documents(spark, d).select("blob_id", F.explode(F.sequence(F.lit(0), n)).alias("k")).where("k > 0")
+    squares = ranges.select(F.col("blob_id").alias("tile_id"), F.expr("(k * 4) % 64").alias("rx"), F.lit(0).alias("ry"), F.lit(8).alias("size"))
+    return records.shared_cells(squares).withColumnRenamed("tile_id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -229,6 +313,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         s6_unfold, s7_fold, s8_flatten, s13_segments, a1_byte_histogram, a2_entropy, a3_most_frequent, a13_crc32, q18_default_width,
         r9_chain_roundtrip, p1_view, p2_decimate, p3_isometry, p6_value_map, p8_residual, p12_pad, a6_skip_count, a4_lag_score, q16_detect_widths,
         j1_block_match, q10_probe, q1_quadtree, q6_refine, q13_advisor_report, q17_layout_search, a11_segment_modes, s11_container_roundtrip,
+        s12_container_bytes, s13_reassemble, s21_comparators, f1_integers, w5_delta_columns, w5_undelta_columns, w6_rolling_hash, w7_split_offsets, j8_spot_lag,
+        a13_segment_crc, a10_tile_stats, p7_fused, p9_flat_blocks, p11_tiles, j11_shared_cells,
     )
     return {f.__name__: f for f in own} | {name: partial(reshaped, step) for name, step in STEPS.items()}
 
@@ -292,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "s6_unfold": _BYTES + "SELECT doc_id, count(*) AS n, sum(v)::BIGINT AS total, sum(v * (pos + 1))::BIGINT AS by_place FROM bytes GROUP BY doc_id",
         "s7_fold": _cells(_WIDTH.format("len(l)")) + _SUMS.format("cells"),
-        "s8_flatten": "SELECT doc_id, true AS ok FROM documents WHERE length(text) > 0",
+        "s8_flatten": "SELECT doc_id, strlen(text)::INT AS n, md5(text) AS digest FROM documents WHERE length(text) > 0",
         "s13_segments": """SELECT doc_id, s::INT AS segment, (least(n, (s + 1) * 1024) - s * 1024)::INT AS n
 FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents), unnest(range(greatest(n - 1, 0) // 1024 + 1)) AS r(s)""",
         "a1_byte_histogram": _BYTES + "SELECT v, count(*) AS n FROM bytes GROUP BY v",
@@ -322,6 +408,33 @@ made AS (SELECT g.doc_id, g.y, g.x, coalesce(c.v, 9) AS v FROM grid g LEFT JOIN
         "a6_skip_count": _cells("64") + """, nodes AS (SELECT doc_id, ny, nx FROM (SELECT DISTINCT doc_id, h FROM high), unnest(range((h + 15) // 16)) AS r(ny), range(4) AS s(nx)),
 got AS (SELECT doc_id, y // 16 AS ny, x // 16 AS nx, count(*) AS n FROM cells WHERE v <> 32 GROUP BY ALL)
 SELECT doc_id, ny::INT AS ny, nx::INT AS nx, coalesce(n, 0)::BIGINT AS skip FROM nodes LEFT JOIN got USING (doc_id, ny, nx)""",
-        "s11_container_roundtrip": "SELECT doc_id, true AS ok FROM documents",
+        "s11_container_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+        "s12_container_bytes": "SELECT doc_id, coalesce(strlen(text), 0)::INT AS n, md5(coalesce(text, '')) AS digest FROM documents",
+        "s13_reassemble": "SELECT doc_id, coalesce(strlen(text), 0)::INT AS n, md5(coalesce(text, '')) AS digest FROM documents",
+        "f1_integers": """WITH s AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n FROM documents), t AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE length(bin(n)) END::INT AS bits FROM s)
+SELECT doc_id, n, bits, greatest(1, ceil(bits / 7))::INT AS bytes, ((n + 63) // 64 * 64)::BIGINT AS rounded, CASE WHEN n >= 1000 THEN 2 * (n - 1000) ELSE 2 * (1000 - n) - 1 END::BIGINT AS zig FROM t""",
+        "w5_delta_columns": """WITH t AS (SELECT l_orderkey, row_number() OVER w AS ord, l_partkey - coalesce(lag(l_partkey) OVER w, 0) AS p, l_suppkey - coalesce(lag(l_suppkey) OVER w, 0) AS s
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+SELECT l_orderkey, ord::INT AS ord, CASE WHEN p >= 0 THEN 2 * p ELSE -2 * p - 1 END::BIGINT AS l_partkey, CASE WHEN s >= 0 THEN 2 * s ELSE -2 * s - 1 END::BIGINT AS l_suppkey FROM t""",
+        "w5_undelta_columns": "SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS ord, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey FROM lineitem",
+        "w6_rolling_hash": """WITH hexed AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents),
+ends AS (SELECT doc_id, l, p AS pos FROM hexed, unnest(range(63, len(l), 64)) AS r(p))
+SELECT doc_id, pos, list_reduce(list_prepend(0::BIGINT, list_transform(l[pos - 62:pos + 1], lambda x: ('0x' || x)::BIGINT)), lambda h, v: (h * 263 + v + 1) % 2147483647) AS hash FROM ends""",
+        "w7_split_offsets": """WITH c AS (SELECT source AS shard, count(*) AS n FROM documents GROUP BY source)
+SELECT shard, n, (sum(n) OVER (ORDER BY shard NULLS FIRST) - n)::BIGINT AS first FROM c""",
+        "j8_spot_lag": _BYTES + """, t AS (SELECT doc_id, pos, v, lag(v, 16) OVER (PARTITION BY doc_id ORDER BY pos) AS b, greatest(1, (count(*) OVER (PARTITION BY doc_id) - 16) // 65536) AS step FROM bytes),
+c AS (SELECT doc_id, count(*) FILTER (v = b) AS same, count(*) AS total FROM t WHERE pos >= 16 AND (pos - 16) % step = 0 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(same, 0)::BIGINT AS same, coalesce(total, 0)::BIGINT AS total, coalesce(same, 0) * 20 > coalesce(total, 0) AS repeats FROM documents d LEFT JOIN c USING (doc_id)""",
+        "a13_segment_crc": "SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n, true AS same FROM documents",
+        "p7_fused": _cells("64") + """, pad AS (SELECT doc_id, yy AS y, xx AS x FROM (SELECT DISTINCT doc_id, h FROM high), unnest(range((h + 15) // 16 * 16)) AS r(yy), range(64) AS s(xx)),
+kept AS (SELECT p.doc_id, p.x // 16 * 16 AS x0, p.y // 16 * 16 AS y0, (p.x % 16) // 2 AS sx, (p.y % 16) // 2 AS sy, (coalesce(v, 0) + 5) % 256 AS v
+  FROM pad p LEFT JOIN cells c USING (doc_id, y, x) WHERE p.x % 2 = 0 AND p.y % 2 = 0)
+SELECT doc_id, x0::INT AS x0, y0::INT AS y0, sx::INT AS y, sum(v)::BIGINT AS total, sum(v * (8 - sy))::BIGINT AS by_column FROM kept GROUP BY ALL""",
+        "p9_flat_blocks": _cells("64") + "SELECT doc_id, (y // 4)::INT AS ny, (x // 4)::INT AS nx, min(v) = max(v) AS flat FROM cells GROUP BY ALL",
+        "p11_tiles": _cells("64") + """SELECT doc_id, xx::INT AS x0, yy::INT AS y0, least(24, 64 - xx)::INT AS w, least(24, h - yy)::INT AS h
+FROM (SELECT DISTINCT doc_id, h FROM high), unnest(range(0, h, 24)) AS r(yy), range(0, 64, 24) AS s(xx)""",
+        "j11_shared_cells": """WITH k AS (SELECT doc_id, i FROM (SELECT doc_id, coalesce(strlen(text), 0) // 1024 AS n FROM documents), unnest(range(1, n + 1)) AS r(i)),
+c AS (SELECT doc_id, (i * 4) % 64 + xx AS x, yy AS y FROM k, range(8) AS a(xx), range(8) AS b(yy))
+SELECT doc_id, y::INT AS y, x::INT AS x, count(*) AS n FROM c GROUP BY ALL HAVING count(*) > 1""",
     }
     return out

@@ -23,8 +23,9 @@ def encode_folder(spark: SparkSession, source: str, sink: str, checkpoint: str,
         .select(F.col("path").alias("blob_id"), "content")
     )
 
-    def write(batch: DataFrame, _: int) -> None:
-        advisor.encoded(segments(batch, segment), o, "segment").write.mode("append").parquet(sink)
+    def write(batch: DataFrame, number: int) -> None:
+        # A folder for each batch: one that is tried again replaces what it wrote.
+        advisor.encoded(segments(batch, segment), o, "segment").write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
