@@ -8,9 +8,10 @@ where four of sixteen minima over their words' hashes are equal.  Two that met a
 ``RADIUS`` bits apart, in a band ``FAR`` bits with half of the minima equal, and their lengths allow the similarity; the edit distance decides.
 
 Classes that meet in a block of more than two are first compared with the block's smallest; what
-those links connect is one group, and the others are compared only across groups, so a
-block of thousands of like lines gives thousands of comparisons, not all pairs, and no group is split that all
-pairs would join.  Everything runs as DataFrame functions.
+those links connect is one group, and the others are compared only across groups: first of each line the pair
+that is nearest by hash, then sixteen pairs of each, then all that are left.  Pairs whose groups have
+become one meanwhile are left out, so a block of thousands of like lines gives thousands of comparisons, not all pairs,
+and no group is split that all pairs would join.  Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MIN_WORDS = 5
 SIMILARITY = 0.8
 #: Digests of lines (24 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Pairs of each line that are compared in a round across groups, before all others are.
+SHARES = (1, 16)
 #: Minima of a line's word hashes that make a key together: rows, columns and diagonals both ways of a square of sixteen.
 BANDS = (
     *(tuple(range(4 * k, 4 * k + 4)) for k in range(4)),
@@ -169,6 +172,30 @@ def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity
     return stored(met.where(f"few or greatest(length(x), length(y)) <= most or (most_words > 0 and levenshtein(wa, wb, most_words) >= 0) or {steps}").select("src", "dst"), "links")
 
 
+def _linked_across(left: DataFrame, classes: DataFrame, every: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+    """Links ``src, dst`` that join the groups of ``left``: ``src, dst, g_a, g_b, apart``, as its whole would join them.
+
+    Every pair is compared unless its groups are one by the links of an earlier round.
+    """
+    links = left.select("src", "dst").limit(0)
+    for share in (*SHARES, None):
+        if left.isEmpty():
+            break
+        turn = F.pmod(F.xxhash64("dst"), F.lit(share)) if share else F.col("dst")
+        picked = stored(left.groupBy("src", turn.alias("turn")).agg(F.min(F.struct("apart", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst")), "picked")
+        found = _verified(picked, classes, every, similarity, broadcast_rows)
+        links = links.union(found)
+        if not share:
+            break
+        joined = left.join(found, ["src", "dst"]).select(F.col("g_a").alias("src"), F.col("g_b").alias("dst")).distinct()
+        new = connected_components(joined)
+        of = lambda g: new.select(F.col("node").alias(g), F.col("component").alias(f"new_{g}"))
+        rest = left.join(picked, ["src", "dst"], "left_anti").join(of("g_a"), "g_a", "left").join(of("g_b"), "g_b", "left")
+        rest = rest.select("src", "dst", F.coalesce("new_g_a", "g_a").alias("g_a"), F.coalesce("new_g_b", "g_b").alias("g_b"), "apart")
+        left = stored(rest.where("g_a <> g_b"), "left")
+    return links
+
+
 def line_groups(
     docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, far: int = FAR, bands: tuple[tuple[int, ...], ...] = BANDS, broadcast_rows: int = BROADCAST_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +221,8 @@ def line_groups(
     end = lambda at, x: open_.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(at), F.col("g").alias(f"g_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
     end_b = end("dst", "b").withColumn("within", F.when(F.col("key_b") >= F.lit(_BAND), far).otherwise(radius))
     across = end("src", "a").join(end_b, (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity, radius))
-    more = _verified(across.select("src", "dst").distinct(), classes, every, similarity, broadcast_rows)
+    across = across.select("src", "dst", "g_a", "g_b", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).alias("apart")).distinct()
+    more = _linked_across(stored(across, "across"), classes, every, similarity, broadcast_rows)
     comps = connected_components(links.union(more)).withColumnRenamed("node", "id")
     grouped = classes.select("id", "digest", "copies").join(comps, "id", "left").where("component is not null or copies > 1")
     grouped = grouped.select("digest", F.coalesce("component", "id").alias("group"), "copies")
