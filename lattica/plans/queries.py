@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import kernels
 from lattica.functions.scalars import bit_length, default_width, round_up, uvarint_size, zigzag
-from lattica.operators import geometry, match, matrices, records, stats
+from lattica.operators import coding, geometry, match, matrices, records, stats
 from lattica.operators.reshape import CATALOGUE, Step
 from lattica.plans import advisor, quadtree
 from lattica.sources import blobs as src
@@ -229,6 +229,16 @@ def s12_container_bytes(spark, d):
     return container.contents(made).select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
 
 
+def u5_mixing_roundtrip(spark, d):
+    """Documents through the context-mixing coder and back."""
+    blobs = documents(spark, d)
+    slots = spark.sparkContext.defaultParallelism
+    few = len(blobs.inputFiles()) < slots
+    rows = coding.mixed(blobs.repartition(slots) if few else blobs, 2048)
+    whole = container.reassembled(coding.unmixed(rows).select("blob_id", "segment", "content"))
+    return whole.select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
+
+
 def s13_reassemble(spark, d):
     whole = container.reassembled(src.segments(documents(spark, d), 1024))
     return whole.select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
@@ -313,7 +323,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         s6_unfold, s7_fold, s8_flatten, s13_segments, a1_byte_histogram, a2_entropy, a3_most_frequent, a13_crc32, q18_default_width,
         r9_chain_roundtrip, p1_view, p2_decimate, p3_isometry, p6_value_map, p8_residual, p12_pad, a6_skip_count, a4_lag_score, q16_detect_widths,
         j1_block_match, q10_probe, q1_quadtree, q6_refine, q13_advisor_report, q17_layout_search, a11_segment_modes, s11_container_roundtrip,
-        s12_container_bytes, s13_reassemble, s21_comparators, f1_integers, w5_delta_columns, w5_undelta_columns, w6_rolling_hash, w7_split_offsets, j8_spot_lag,
+        s12_container_bytes, s13_reassemble, u5_mixing_roundtrip, s21_comparators, f1_integers, w5_delta_columns, w5_undelta_columns, w6_rolling_hash, w7_split_offsets, j8_spot_lag,
         a13_segment_crc, a10_tile_stats, p7_fused, p9_flat_blocks, p11_tiles, j11_shared_cells,
     )
     return {f.__name__: f for f in own} | {name: partial(reshaped, step) for name, step in STEPS.items()}
@@ -410,6 +420,7 @@ got AS (SELECT doc_id, y // 16 AS ny, x // 16 AS nx, count(*) AS n FROM cells WH
 SELECT doc_id, ny::INT AS ny, nx::INT AS nx, coalesce(n, 0)::BIGINT AS skip FROM nodes LEFT JOIN got USING (doc_id, ny, nx)""",
         "s11_container_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
         "s12_container_bytes": "SELECT doc_id, coalesce(strlen(text), 0)::INT AS n, md5(coalesce(text, '')) AS digest FROM documents",
+        "u5_mixing_roundtrip": "SELECT doc_id, coalesce(strlen(text), 0)::INT AS n, md5(coalesce(text, '')) AS digest FROM documents",
         "s13_reassemble": "SELECT doc_id, coalesce(strlen(text), 0)::INT AS n, md5(coalesce(text, '')) AS digest FROM documents",
         "f1_integers": """WITH s AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n FROM documents), t AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE length(bin(n)) END::INT AS bits FROM s)
 SELECT doc_id, n, bits, greatest(1, ceil(bits / 7))::INT AS bytes, ((n + 63) // 64 * 64)::BIGINT AS rounded, CASE WHEN n >= 1000 THEN 2 * (n - 1000) ELSE 2 * (1000 - n) - 1 END::BIGINT AS zig FROM t""",
