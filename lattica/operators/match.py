@@ -132,3 +132,59 @@ def probe(tiles: DataFrame) -> DataFrame:
         out = part if out is None else out.union(part)
     total = out.groupBy("tile_id").agg(*(F.sum(c).alias(c) for c in ("nodes", "hits", "copy_hits")))
     return total.withColumn("worth", (F.col("hits") >= 16) & (F.col("hits") * 1000 >= F.col("nodes") * 40))
+
+
+def _agreeing(diff: np.ndarray) -> np.ndarray:
+    """How often the commonest value of each row occurs."""
+    n = len(diff)
+    flat = diff.astype(np.int64) + (np.arange(n) << 8)[:, None]
+    return np.bincount(flat.ravel(), minlength=n << 8).reshape(n, 256).max(axis=1)
+
+
+def _first_commonest(diff: np.ndarray) -> int:
+    """The commonest value; of several, the one that is complete first."""
+    counts = np.bincount(diff, minlength=256)
+    last = {int(v): i for i, v in enumerate(diff)}
+    return min(np.flatnonzero(counts == counts.max()).tolist(), key=lambda v: last[v])
+
+
+def exhaustive(tiles: DataFrame, size: int, stride: int) -> DataFrame:
+    """``tile_id, rx, ry, dx, dy, iso, code, c, misses``: for each node the decimated domain that agrees in most of its real cells.
+
+    Tiles are ``tile_id, w, content, real_w, real_h``; cells beyond the real ones don't count, and nodes without any are left out, as
+    are those that every domain overlaps.  Every domain is tried in eight orientations as it is (code 0), with a constant added
+    (1) and exclusive or with one (2); the first code, then the first domain, then the first orientation wins a tie.
+    The work of a tile grows with nodes times domains, and a tile is a task's, so tiles should be small.
+    """
+    kind_of = tiles.schema["tile_id"].dataType.simpleString()
+    names = ("rx", "ry", "dx", "dy", "iso", "code", "c", "misses")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = [], []
+            for r in b.to_pylist():
+                m = np.frombuffer(r["content"], np.uint8).reshape(-1, r["w"])
+                doms, dx, dy = _windows(m, size, stride, 2)
+                if not len(doms):
+                    continue
+                turned = np.stack([np.ascontiguousarray(o).reshape(len(doms), -1) for o in _orient(doms)], axis=1)
+                nodes, rx, ry = _windows(m, size, size, 1)
+                ys, xs = np.divmod(np.arange(size * size), size)
+                for node, x, y in zip(nodes.reshape(len(nodes), -1), rx.tolist(), ry.tolist(), strict=True):
+                    real = (x + xs < r["real_w"]) & (y + ys < r["real_h"])
+                    apart = np.flatnonzero((dx + 2 * size <= x) | (x + size <= dx) | (dy + 2 * size <= y) | (y + size <= dy))
+                    if not real.any() or not len(apart):
+                        continue
+                    d = turned[apart][:, :, real].reshape(len(apart) * 8, -1)
+                    forms = node[real] - d, node[real] ^ d
+                    agree = np.stack([(d == node[real]).sum(axis=1), *(_agreeing(f) for f in forms)])
+                    at = int(agree.max(axis=0).argmax())
+                    code = int(agree[:, at].argmax())
+                    c = _first_commonest(forms[code - 1][at]) if code else 0
+                    dom = apart[at >> 3]
+                    ids.append(r["tile_id"])
+                    rows.append((x, y, int(dx[dom]), int(dy[dom]), at & 7, code, c, int(real.sum() - agree[code, at])))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("tile_id").type), *(pa.array(x, pa.int32()) for x in cols)], ["tile_id", *names])
+
+    return tiles.select("tile_id", "w", "content", "real_w", "real_h").mapInArrow(run, f"tile_id {kind_of}, " + ", ".join(f"{n} int" for n in names))

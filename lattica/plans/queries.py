@@ -229,6 +229,17 @@ def s12_container_bytes(spark, d):
     return container.contents(made).select(F.col("blob_id").alias("doc_id"), F.octet_length("content").alias("n"), F.md5("content").alias("digest"))
 
 
+def j12_exhaustive(spark, d):
+    """Documents in tiles of 32 x 32, the last filled up with zeros, nodes of 8: the best agreement of each."""
+    parts = src.segments(documents(spark, d), 1024).where("octet_length(content) > 0")
+    tiles = parts.select(
+        F.concat_ws("/", "blob_id", "segment").alias("tile_id"), F.lit(32).alias("w"), F.expr("rpad(content, 1024, X'00')").alias("content"),
+        F.lit(32).alias("real_w"), F.expr("cast((octet_length(content) + 31) div 32 as int)").alias("real_h"),
+    )
+    own = F.split("tile_id", "/")
+    return match.exhaustive(tiles, 8, 4).select(own[0].cast("long").alias("doc_id"), own[1].cast("int").alias("segment"), "rx", "ry", "dx", "dy", "iso", "code", "c", "misses")
+
+
 def u5_mixing_roundtrip(spark, d):
     """Documents through the context-mixing coder and back."""
     blobs = documents(spark, d)
@@ -322,7 +333,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         s6_unfold, s7_fold, s8_flatten, s13_segments, a1_byte_histogram, a2_entropy, a3_most_frequent, a13_crc32, q18_default_width,
         r9_chain_roundtrip, p1_view, p2_decimate, p3_isometry, p6_value_map, p8_residual, p12_pad, a6_skip_count, a4_lag_score, q16_detect_widths,
-        j1_block_match, q10_probe, q1_quadtree, q6_refine, q13_advisor_report, q17_layout_search, a11_segment_modes, s11_container_roundtrip,
+        j1_block_match, j12_exhaustive, q10_probe, q1_quadtree, q6_refine, q13_advisor_report, q17_layout_search, a11_segment_modes, s11_container_roundtrip,
         s12_container_bytes, s13_reassemble, u5_mixing_roundtrip, s21_comparators, f1_integers, w5_delta_columns, w5_undelta_columns, w6_rolling_hash, w7_split_offsets, j8_spot_lag,
         a13_segment_crc, a10_tile_stats, p7_fused, p9_flat_blocks, p11_tiles, j11_shared_cells,
     )
