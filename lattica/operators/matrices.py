@@ -174,6 +174,22 @@ def tiles(matrix: DataFrame, size: int) -> DataFrame:
     return matrix.mapInArrow(run, f"blob_id {kind}, x0 int, y0 int, w int, h int, content binary")
 
 
+def skip_counts(matrix: DataFrame, size: int, start: int) -> DataFrame:
+    """``blob_id, ny, nx, skip``: for each square of ``size``, smaller at the right and lower edge, its cells that are not ``start``."""
+    kind = matrix.schema["blob_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, m in enumerate(_read(b)):
+                other = np.pad(m != start, ((0, -m.shape[0] % size), (0, -m.shape[1] % size)))
+                n = other.reshape(other.shape[0] // size, size, -1, size).sum(axis=(1, 3), dtype=np.int64)
+                ny, nx = np.indices(n.shape, np.int32)
+                ids = b.column(0).slice(k, 1).take(pa.array(np.zeros(n.size, np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(ny.ravel()), pa.array(nx.ravel()), pa.array(n.ravel())], ["blob_id", "ny", "nx", "skip"])
+
+    return matrix.select("blob_id", "w", "h", "content").mapInArrow(run, f"blob_id {kind}, ny int, nx int, skip long")
+
+
 def row_sums(matrix: DataFrame) -> DataFrame:
     """``blob_id, y, total, by_column``: the sum of a row's values, and of the values by their column."""
     kind = matrix.schema["blob_id"].dataType.simpleString()

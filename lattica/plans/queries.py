@@ -152,9 +152,9 @@ def p12_pad(spark, d):
 
 
 def a6_skip_count(spark, d):
-    cells = geometry.padded(src.fold(documents(spark, d), 64), 16, 32)
-    part = cells.groupBy(F.col("blob_id").alias("doc_id"), F.expr("cast(y div 16 as int)").alias("ny"), F.expr("cast(x div 16 as int)").alias("nx"))
-    return part.agg(F.count_if(F.col("real") & (F.col("v") != 32)).alias("skip"))
+    """Blobs of one id are laid over each other and add up; those without an id count nothing, as in the SQL."""
+    part = named(matrices.skip_counts(folded(spark, d), 16, 32)).groupBy("doc_id", "ny", "nx").agg(F.sum("skip").alias("n"))
+    return part.select("doc_id", "ny", "nx", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("n")).alias("skip"))
 
 
 def a4_lag_score(spark, d):
