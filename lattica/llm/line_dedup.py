@@ -17,6 +17,7 @@ and no group is split that all pairs would join.  Everything runs as DataFrame f
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,12 @@ BANDS = (
 _MIXED = tuple(int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(16))
 #: Keys of bands are at least this, those of blocks less.
 _BAND = 1 << 62
+#: Keys are counted in so many turns, so that a third of them is on disk at a time.
+_TURNS = 3
+#: A length's step in an id: lengths of which one is at most this many times the other are in one step or the next.
+_STEP = 1.3
+#: Where the number of a line and the step of its length are in an id; the count of set bits is at the end.
+_AT_ROW, _AT_STEP = 14, 7
 #: Two lanes of 32 bits; a lane counts up to 2**30 letters.
 _LANES = 0x0000000100000001
 
@@ -73,7 +80,9 @@ def simhash_classes(every: DataFrame, min_words: int) -> DataFrame:
     letters too, and short words, which all lines have, would make unlike lines near.  Equal lines are combined before the shuffle;
     after it, the words of a class are counted where the class is, without another one.  32 sums of
     two lanes each count the 64 bits; adding what is missing to half of 2**31 makes a lane's top bit tell a
-    majority.  ``sk0`` and ``sk1`` have a byte of each minimum.  ``id`` is unique, as the rows are numbered when they are stored.
+    majority.  ``sk0`` and ``sk1`` have a byte of each minimum.  ``id`` is unique, as the rows are numbered when they are stored; below the
+    number it has the step of the length and the count of set bits, so that most pairs that can't be near go before anything is
+    joined.  Beyond 65,536 partitions there is no room for the number, which raises.
     """
     own = every.where(F.col("n_words") >= min_words).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("norm").alias("norm"))
     words = own.select("digest", "copies", F.length("norm").alias("len"), F.explode(F.split("norm", " ", -1)).alias("word"))
@@ -91,8 +100,13 @@ def simhash_classes(every: DataFrame, min_words: int) -> DataFrame:
     sketch = [F.lit(0).cast("long"), F.lit(0).cast("long")]
     for k in range(16):
         sketch[k // 8] = sketch[k // 8].bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)).cast("long"), 8 * (k % 8)))
+    row = F.monotonically_increasing_id()
+    row = F.when(row < F.lit(1 << 63 - _AT_ROW), row).otherwise(F.raise_error(F.lit("too many partitions to number the lines")).cast("long"))
+    step = F.floor(F.log("len") / math.log(_STEP)).cast("long")
+    own_id = F.shiftleft(row, _AT_ROW).bitwiseOR(F.shiftleft(step, _AT_STEP)).bitwiseOR(F.bit_count("h").cast("long"))
+    counted = counted.withColumn("h", bits)
     return stored(
-        counted.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "len", bits.alias("h"), sketch[0].alias("sk0"), sketch[1].alias("sk1"), *(f"m{k}" for k in range(16))),
+        counted.select(own_id.alias("id"), "digest", "copies", "len", "h", sketch[0].alias("sk0"), sketch[1].alias("sk1"), *(f"m{k}" for k in range(16))),
         "classes",
     )
 
@@ -117,12 +131,19 @@ def _band_keys(bands: tuple[tuple[int, ...], ...]) -> list[Column]:
 def _near(pairs: DataFrame, classes: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Of ``src, dst, within`` those that ``_alike`` holds near enough."""
     side = lambda at, x: classes.select(F.col("id").alias(at), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
-    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity, radius)).select("src", "dst")
+    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity, radius, F.col("within"))).select("src", "dst")
 
 
 _SIGNS = ("h", "len", "sk0", "sk1")
 
 
+def _may_be_near(similarity: float) -> Column:
+    """What ids alone tell of ``src, dst, within``: steps of the lengths and counts of set bits; rules out no pair that ``_alike`` holds near."""
+    steps = math.ceil(math.log(1 / similarity) / math.log(_STEP) + 1e-6) if similarity > 0 else 128
+    step, bits = ((lambda c, at=at: F.shiftright(c, at).bitwiseAND(F.lit(127))) for at in (_AT_STEP, 0))
+    return (F.abs(step("src") - step("dst")) <= steps) & (F.abs(bits("src") - bits("dst")) <= F.col("within"))
+
+
 def _unequal_bytes(x: Column, y: Column) -> Column:
     z = x.bitwiseXOR(y)
     for k in (4, 2, 1):
@@ -130,11 +151,11 @@ def _unequal_bytes(x: Column, y: Column) -> Column:
     return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def _alike(similarity: float, radius: int) -> Column:
+def _alike(similarity: float, radius: int, within: Column) -> Column:
     """Hashes near enough, minima for those that are further apart, and lengths, which rule out no similar pair."""
     apart = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
     unequal = _unequal_bytes(F.col("sk0_a"), F.col("sk0_b")) + _unequal_bytes(F.col("sk1_a"), F.col("sk1_b"))
-    near = (apart <= radius) | ((apart <= F.col("within")) & (unequal <= 16 - COMMON))
+    near = (apart <= radius) | ((apart <= within) & (unequal <= 16 - COMMON))
     return F.expr(f"abs(len_a - len_b) <= greatest(len_a, len_b) * {1 - similarity:.9f} + 1e-6") & near
 
 
@@ -202,25 +223,33 @@ def line_groups(
     """The occurrences ``doc_id, line_no, digest`` and, by digest, the groups ``digest, group, copies`` of more than one line."""
     every = lines(docs)
     classes = simhash_classes(every, min_words)
-    keyed = classes.select("id", F.explode(F.array(*_block_keys(F.col("h")), *_band_keys(bands))).alias("key"))
-    blocks = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1"), "blocks")
+    keys = [*_block_keys(F.col("h")), *_band_keys(bands)]
+    keyed = lambda keys, *more: classes.select("id", F.explode(F.array(*keys)).alias("key"), *more)
+    blocks = None
+    for k in range(_TURNS):
+        counted = keyed(keys[k::_TURNS]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        some = stored(counted.where("n > 1"), "blocks")
+        blocks = some if blocks is None else blocks.union(some)
     many = blocks.where("n > 2").select("key", "lo")
     small = many.count() <= broadcast_rows
-    members = stored(keyed.join(F.broadcast(many) if small else many, "key"), "members")
+    # What is broadcast moves no row, so the members can have their signs at once.
+    members = keyed(keys, *_SIGNS).join(F.broadcast(many), "key") if small else keyed(keys).join(many, "key").join(classes.select("id", *_SIGNS), "id")
+    members = stored(members, "members")
     # Hashes that met in blocks are within the radius, those that met in a band may be further apart.
     within = F.when(F.col("key") >= F.lit(_BAND), far).otherwise(radius).alias("within")
     met = blocks.where("n = 2").select(F.col("hi").alias("src"), F.col("lo").alias("dst"), within)
     met = met.union(members.where("id <> lo").select(F.col("id").alias("src"), F.col("lo").alias("dst"), within))
-    met = met.groupBy("src", "dst").agg(F.max("within").alias("within"))
+    met = met.where(_may_be_near(similarity)).groupBy("src", "dst").agg(F.max("within").alias("within"))
     links = _verified(_near(met, classes, similarity, radius), classes, every, similarity, broadcast_rows)
     groups = connected_components(links).withColumnRenamed("node", "id")
 
-    named = stored(members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g")), "named")
+    named = stored(members.drop("lo").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"), *_SIGNS), "named")
     split = stored(named.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("last")).where("least < last").select("key"), "split")
-    open_ = stored(named.join(split, "key").join(classes.select("id", *_SIGNS), "id"), "open")
+    open_ = stored(named.join(split, "key"), "open")
+    # Both ends are the same rows under other names, so they are shuffled once.
     end = lambda at, x: open_.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(at), F.col("g").alias(f"g_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
-    end_b = end("dst", "b").withColumn("within", F.when(F.col("key_b") >= F.lit(_BAND), far).otherwise(radius))
-    across = end("src", "a").join(end_b, (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity, radius))
+    within = F.when(F.col("key_a") >= F.lit(_BAND), far).otherwise(radius)
+    across = end("src", "a").join(end("dst", "b"), (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity, radius, within))
     across = across.select("src", "dst", "g_a", "g_b", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).alias("apart")).distinct()
     more = _linked_across(stored(across, "across"), classes, every, similarity, broadcast_rows)
     comps = connected_components(links.union(more)).withColumnRenamed("node", "id")
