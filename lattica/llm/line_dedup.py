@@ -49,8 +49,8 @@ BANDS = (
 _MIXED = tuple(int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(16))
 #: Keys of bands are at least this, those of blocks less.
 _BAND = 1 << 62
-#: Keys are counted in so many turns, so that a third of them is on disk at a time.
-_TURNS = 3
+#: Keys are counted in so many turns, so that half of them are on disk at a time.
+_TURNS = 2
 #: A length's step in an id: lengths of which one is at most this many times the other are in one step or the next.
 _STEP = 1.3
 #: Where the number of a line and the step of its length are in an id; the count of set bits is at the end.
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity
     long = lambda c: F.aggregate(c, F.lit(-1), lambda n, w: n + F.length(w) + 1)
     inner = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail"))
     met = met.select("src", "dst", long("a").alias("la"), long("b").alias("lb"), inner("a").alias("a"), inner("b").alias("b"))
-    met = met.withColumn("most", F.floor(F.greatest("la", "lb") * (1 - similarity) + 1e-9).cast("int")).where("abs(la - lb) <= most")
+    met = met.withColumn("most", F.floor(F.greatest("la", "lb") * (1 - similarity) + 1e-9).cast("int"))
     # Replacing word by word takes at least as many edits, and so does replacing everything; if that is few enough, the count can be left out.
     changed = "aggregate(zip_with(a, b, (p, q) -> if(p <=> q, 0, greatest(length(p), length(q)))), 0, (n, e) -> n + e)"
     few = f"(size(a) = size(b) and {changed} <= most)"
@@ -185,12 +185,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity
     sign = lambda c: f"decode(unhex(array_join(transform({c}, w -> hex(4096 + pmod(xxhash64(w), 49152))), '')), 'UTF-16BE')"
     widest = "(1 + aggregate(concat(a, b), 0, (n, w) -> greatest(n, length(w))))"
     met = met.select(
-        "src", "dst", "most", F.expr(few).alias("few"), F.expr(f"most div {widest} - 1").alias("most_words"),
+        "src", "dst", "most", F.expr("abs(la - lb) <= most").alias("may"), F.expr(few).alias("few"), F.expr(f"most div {widest} - 1").alias("most_words"),
         F.expr(sign("a")).alias("wa"), F.expr(sign("b")).alias("wb"), F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y"),
     )
     # With a limit, levenshtein() counts only that far from the diagonal and gives -1 beyond it; most similar lines are found by a small one.
     steps = " or ".join(f"levenshtein(x, y, {m}) >= 0" for m in ("most div 3", "most"))
-    return stored(met.where(f"few or greatest(length(x), length(y)) <= most or (most_words > 0 and levenshtein(wa, wb, most_words) >= 0) or {steps}").select("src", "dst"), "links")
+    similar = f"may and (few or greatest(length(x), length(y)) <= most or (most_words > 0 and levenshtein(wa, wb, most_words) >= 0) or {steps})"
+    # A filter here would be moved below the columns and make each anew wherever it is named; as a column it is made once.
+    return stored(met.select("src", "dst", F.expr(similar).alias("similar")), "links").where("similar").select("src", "dst")
 
 
 def _linked_across(left: DataFrame, classes: DataFrame, every: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:

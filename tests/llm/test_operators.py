@@ -304,14 +304,14 @@ def test_line_dedup_finds_similar_lines_beyond_the_radius(spark):
 
 
 def test_line_dedup_drops_only_pairs_that_are_not_near(spark, monkeypatch):
-    """Ids tell of no pair within the lengths and the radius that it isn't near; a third of the keys is counted at a time."""
+    """Ids tell of no pair within the lengths and the radius that it isn't near; half of the keys are counted at a time."""
     rng = np.random.default_rng(11)
     texts = [" ".join(f"w{rng.integers(0, 40)}" for _ in range(n)) for n in [*range(5, 60), 400, 480, 500] for _ in range(2)]
     made = {}
     stored = line_dedup.stored
     monkeypatch.setattr(line_dedup, "stored", lambda df, tag: made.setdefault(tag, []).append(df) or stored(df, tag))
     line_dedup.line_groups(docs(spark, list(enumerate(texts))))
-    assert len(made["blocks"]) == 3
+    assert len(made["blocks"]) == 2
     classes = stored(made["classes"][0], "classes").select("id", "len", "h")
     a, b = (classes.select(F.col("id").alias(x), F.col("len").alias(f"len_{x}"), F.col("h").alias(f"h_{x}")) for x in ("src", "dst"))
     near = a.crossJoin(b).where("src < dst and abs(len_src - len_dst) <= 0.2 * greatest(len_src, len_dst) + 1e-6")
