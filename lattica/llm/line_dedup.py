@@ -74,13 +74,13 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def simhash_classes(every: DataFrame, min_words: int) -> DataFrame:
-    """``id, digest, copies, len, h, sk0, sk1, m0, m1, ...``: a row for each digest of ``min_words`` words or more, stored.
+    """``id, digest, copies, len, h, sk0, sk1``: a row for each digest of ``min_words`` words or more, stored.
 
     A bit of ``h`` is set if words with more than half of the line's letters have it in their hashes: edits count
     letters too, and short words, which all lines have, would make unlike lines near.  Equal lines are combined before the shuffle;
     after it, the words of a class are counted where the class is, without another one.  32 sums of
     two lanes each count the 64 bits; adding what is missing to half of 2**31 makes a lane's top bit tell a
-    majority.  ``sk0`` and ``sk1`` have a byte of each minimum.  ``id`` is unique, as the rows are numbered when they are stored; below the
+    majority; they are folded one by one, as all at once make a method that the JVM doesn't compile.  ``sk0`` and ``sk1`` have a byte of each minimum.  ``id`` is unique, as the rows are numbered when they are stored; below the
     number it has the step of the length and the count of set bits, so that most pairs that can't be near go before anything is
     joined.  Beyond 65,536 partitions there is no room for the number, which raises.
     """
@@ -94,9 +94,8 @@ def simhash_classes(every: DataFrame, min_words: int) -> DataFrame:
         F.sum("c").alias("n"), F.max("copies").alias("copies"), F.max("len").alias("len"), *sums, *mins
     )
     bump = (F.lit(2**30 - 1).cast("long") - F.expr("n div 2")) * F.lit(_LANES)
-    bits = F.lit(0).cast("long")
-    for k in range(32):
-        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + bump, 30).bitwiseAND(F.lit(_LANES)), k))
+    tops = F.array(*(F.shiftrightunsigned(F.col(f"s{k}") + bump, 30).bitwiseAND(F.lit(_LANES)) for k in reversed(range(32))))
+    bits = F.aggregate(tops, F.lit(0).cast("long"), lambda b, top: F.shiftleft(b, 1).bitwiseOR(top))
     sketch = [F.lit(0).cast("long"), F.lit(0).cast("long")]
     for k in range(16):
         sketch[k // 8] = sketch[k // 8].bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)).cast("long"), 8 * (k % 8)))
@@ -106,7 +105,7 @@ def simhash_classes(every: DataFrame, min_words: int) -> DataFrame:
     own_id = F.shiftleft(row, _AT_ROW).bitwiseOR(F.shiftleft(step, _AT_STEP)).bitwiseOR(F.bit_count("h").cast("long"))
     counted = counted.withColumn("h", bits)
     return stored(
-        counted.select(own_id.alias("id"), "digest", "copies", "len", "h", sketch[0].alias("sk0"), sketch[1].alias("sk1"), *(f"m{k}" for k in range(16))),
+        counted.select(own_id.alias("id"), "digest", "copies", "len", "h", sketch[0].alias("sk0"), sketch[1].alias("sk1")),
         "classes",
     )
 
@@ -123,15 +122,40 @@ def _block_keys(h: Column) -> list[Column]:
 
 
 def _band_keys(bands: tuple[tuple[int, ...], ...]) -> list[Column]:
-    """A hash of the minima of each band."""
-    keys = (F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)) for k, band in enumerate(bands))
-    return [F.shiftrightunsigned(k, 2).bitwiseOR(F.lit(_BAND)) for k in keys]
+    """The bytes of the minima of each band, up to four, with its number, as one long."""
+    out = []
+    for k, band in enumerate(bands):
+        key = F.lit(_BAND | k << 32)
+        for i, j in enumerate(band):
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"sk{j // 8}"), 8 * (j % 8)).bitwiseAND(F.lit(255)), 8 * i))
+        out.append(key)
+    return out
+
+
+def _met_first(radius: int, bands: tuple[tuple[int, ...], ...]) -> Column:
+    """Whether ``key_a`` is the one of the keys that two lines share at which they are compared: the first block if that near, else the first band."""
+    differ = F.struct(
+        F.col("h_a").bitwiseXOR(F.col("h_b")).alias("z"), *(_unequal(F.col(f"sk{x}_a"), F.col(f"sk{x}_b")).alias(f"u{x}") for x in range(2)), F.shiftright("key_a", 32).alias("number")
+    )
+
+    def first(d: Column) -> Column:
+        block, band = F.lit(None).cast("long"), F.lit(None).cast("long")
+        for k, pair in reversed(list(enumerate(combinations(BLOCKS, 2)))):
+            mask = sum((1 << n) - 1 << at for at, n in pair)
+            block = F.when(d["z"].bitwiseAND(F.lit(mask - (mask >> 63 << 64))) == 0, F.lit(k).cast("long")).otherwise(block)
+        for k, of in reversed(list(enumerate(bands))):
+            met = [d[f"u{x}"].bitwiseAND(F.lit(sum(1 << 8 * (j % 8) for j in of if j // 8 == x))) == 0 for x in sorted({j // 8 for j in of})]
+            band = F.when(met[0] & met[1] if len(met) > 1 else met[0], F.lit((_BAND >> 32) + k)).otherwise(band)
+        return F.coalesce(F.when(F.bit_count(d["z"]) <= radius, block), band) == d["number"]
+
+    # In a lambda what differs is made once; as plain columns it would be made for each key, in a method that the JVM doesn't compile.
+    return F.exists(F.array(differ), first)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Of ``src, dst, within`` those that ``_alike`` holds near enough."""
     side = lambda at, x: classes.select(F.col("id").alias(at), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
-    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity, radius, F.col("within"))).select("src", "dst")
+    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(_alike(similarity, radius, F.col("within"))).select("src", "dst", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).alias("apart"))
 
 
 _SIGNS = ("h", "len", "sk0", "sk1")
@@ -144,11 +168,17 @@ def _may_be_near(similarity: float) -> Column:
     return (F.abs(step("src") - step("dst")) <= steps) & (F.abs(bits("src") - bits("dst")) <= F.col("within"))
 
 
-def _unequal_bytes(x: Column, y: Column) -> Column:
+def _unequal(x: Column, y: Column) -> Column:
+    """The lowest bit of each byte in which the two differ."""
+    # What is above a byte's lowest bit is halved three times; no bit of the byte above gets there.
     z = x.bitwiseXOR(y)
     for k in (4, 2, 1):
         z = z.bitwiseOR(F.shiftrightunsigned(z, k))
-    return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return z.bitwiseAND(F.lit(0x0101010101010101))
+
+
+def _unequal_bytes(x: Column, y: Column) -> Column:
+    return F.bit_count(_unequal(x, y))
 
 
 def _alike(similarity: float, radius: int, within: Column) -> Column:
@@ -195,13 +225,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, every: DataFrame, similarity
     return stored(met.select("src", "dst", F.expr(similar).alias("similar")), "links").where("similar").select("src", "dst")
 
 
-def _linked_across(left: DataFrame, classes: DataFrame, every: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+def _linked(left: DataFrame, shares: tuple[int, ...], classes: DataFrame, every: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
     """Links ``src, dst`` that join the groups of ``left``: ``src, dst, g_a, g_b, apart``, as its whole would join them.
 
-    Every pair is compared unless its groups are one by the links of an earlier round.
+    Every pair is compared unless its groups are one by the links of an earlier round; of each line so many pairs as
+    ``shares`` has for a round, the nearest of each share, and in the end all that are left.
     """
     links = left.select("src", "dst").limit(0)
-    for share in (*SHARES, None):
+    for share in (*shares, None):
         if left.isEmpty():
             break
         turn = F.pmod(F.xxhash64("dst"), F.lit(share)) if share else F.col("dst")
@@ -219,6 +250,36 @@ def _linked_across(left: DataFrame, classes: DataFrame, every: DataFrame, simila
     return links
 
 
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Of ``members`` those in blocks that more than one group of ``links`` is in, with the group ``g``.  Stored."""
+    groups = connected_components(links).withColumnRenamed("node", "id")
+    named = members.select("key", "id", *_SIGNS).join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"), *_SIGNS)
+    named = stored(named, "named")
+    split = stored(named.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("last")).where("least < last").select("key"), "split")
+    return stored(named.join(split, "key"), "open")
+
+
+def _side(df: DataFrame, at: str, x: str, *keys: str) -> DataFrame:
+    return df.select(F.col("id").alias(at), F.col("g").alias(f"g_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in (*keys, *_SIGNS)))
+
+
+def _to_shortest(open_: DataFrame, similarity: float, radius: int, far: int) -> DataFrame:
+    """``src, dst``: members of blocks and the shortest one that is about as long, if that is of another group; as many as members.
+
+    Two ways to cut lengths into steps are used, so lengths that are near are in one step in either.
+    """
+    base = max(1.01, min(2.0, 1 / similarity)) if similarity > 0 else 2.0
+    pairs = None
+    for shift in (0.0, 0.5):
+        dealt = open_.withColumn("step", F.floor(F.log("len") / math.log(base) + shift))
+        least = dealt.groupBy("key", "step").agg(F.min(F.struct("len", "id", "g", "h", "sk0", "sk1")).alias("least")).select("key", "step", "least.*")
+        within = F.when(F.col("key_a") >= F.lit(_BAND), far).otherwise(radius)
+        on = (F.col("key_a") == F.col("key_b")) & (F.col("step_a") == F.col("step_b")) & (F.col("g_a") != F.col("g_b")) & _alike(similarity, radius, within)
+        met = _side(dealt, "src", "a", "key", "step").join(_side(least, "dst", "b", "key", "step"), on).select("src", "dst", "g_b", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).alias("apart"))
+        pairs = met if pairs is None else pairs.union(met)
+    return pairs.groupBy("src", "g_b").agg(F.min(F.struct("apart", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
+
+
 def line_groups(
     docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, far: int = FAR, bands: tuple[tuple[int, ...], ...] = BANDS, broadcast_rows: int = BROADCAST_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -242,18 +303,18 @@ def line_groups(
     met = blocks.where("n = 2").select(F.col("hi").alias("src"), F.col("lo").alias("dst"), within)
     met = met.union(members.where("id <> lo").select(F.col("id").alias("src"), F.col("lo").alias("dst"), within))
     met = met.where(_may_be_near(similarity)).groupBy("src", "dst").agg(F.max("within").alias("within"))
-    links = _verified(_near(met, classes, similarity, radius), classes, every, similarity, broadcast_rows)
-    groups = connected_components(links).withColumnRenamed("node", "id")
+    near = _near(met, classes, similarity, radius).select("src", "dst", F.col("src").alias("g_a"), F.col("dst").alias("g_b"), "apart")
+    check = (classes, every, similarity, broadcast_rows)
+    links = _linked(stored(near, "near"), (1,), *check)
+    links = links.union(_verified(_to_shortest(_open(members, links), similarity, radius, far), *check))
 
-    named = stored(members.drop("lo").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"), *_SIGNS), "named")
-    split = stored(named.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("last")).where("least < last").select("key"), "split")
-    open_ = stored(named.join(split, "key"), "open")
-    # Both ends are the same rows under other names, so they are shuffled once.
-    end = lambda at, x: open_.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(at), F.col("g").alias(f"g_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _SIGNS))
+    open_ = _open(members, links)
     within = F.when(F.col("key_a") >= F.lit(_BAND), far).otherwise(radius)
-    across = end("src", "a").join(end("dst", "b"), (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity, radius, within))
-    across = across.select("src", "dst", "g_a", "g_b", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).alias("apart")).distinct()
-    more = _linked_across(stored(across, "across"), classes, every, similarity, broadcast_rows)
+    # Both ends are the same rows under other names, so they are shuffled once.
+    on = (F.col("key_a") == F.col("key_b")) & (F.col("g_a") < F.col("g_b")) & _alike(similarity, radius, within) & _met_first(radius, bands)
+    across = _side(open_, "src", "a", "key").join(_side(open_, "dst", "b", "key"), on)
+    across = across.select("src", "dst", "g_a", "g_b", F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).alias("apart"))
+    more = _linked(stored(across, "across"), SHARES, *check)
     comps = connected_components(links.union(more)).withColumnRenamed("node", "id")
     grouped = classes.select("id", "digest", "copies").join(comps, "id", "left").where("component is not null or copies > 1")
     grouped = grouped.select("digest", F.coalesce("component", "id").alias("group"), "copies")

@@ -321,6 +321,45 @@ def test_line_dedup_drops_only_pairs_that_are_not_near(spark, monkeypatch):
     assert pairs.count() > 20 and a.crossJoin(b).withColumn("within", F.lit(3)).where(~line_dedup._may_be_near(0.8)).count() > 1000
 
 
+def test_line_dedup_compares_across_groups_what_pivots_leave(spark, monkeypatch):
+    """Lines of one common end and starts of their own: each pair is made once, pivots join what is similar before, and the groups are those of all pairs near enough by hash and minima."""
+    rng = np.random.default_rng(5)
+    end = " ".join(f"e{rng.integers(0, 900)}" for _ in range(60))
+    texts = [" ".join([*(f"s{rng.integers(0, 90000)}" for _ in range(k // 3)), end]) for k in range(3, 90, 2)]
+    made = {}
+    stored = line_dedup.stored
+
+    def keep(df, tag):
+        made.setdefault(tag, []).append(stored(df, tag))
+        return made[tag][-1]
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    _, groups = line_dedup.line_groups(docs(spark, list(enumerate(texts))))
+    lines = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    a, b = (lines.select(F.col("n").alias(f"n{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
+    near = a.crossJoin(b).where("na < nb and levenshtein(ta, tb) <= floor(0.2 * greatest(length(ta), length(tb)) + 1e-9)").select("na", "nb").collect()
+    sign = {bytes(r.digest): (r.h, [(m >> 8 * k) & 255 for m in (r.sk0, r.sk1) for k in range(8)]) for r in made["classes"][0].collect()}
+    sign = [sign[hashlib.md5(t.encode()).digest()] for t in texts]
+    g = Groups()
+    for r in near:
+        (h, m), (i, q) = sign[r.na], sign[r.nb]
+        equal = [x == y for x, y in zip(m, q)]
+        apart = bin((h ^ i) & (1 << 64) - 1).count("1")
+        if apart <= 3 or (apart <= 18 and sum(equal) >= 8 and any(all(equal[k] for k in band) for band in line_dedup.BANDS)):
+            g.join(r.na, r.nb)
+    digest = {hashlib.md5(t.encode()).digest(): n for n, t in enumerate(texts)}
+    got = {}
+    for r in groups.collect():
+        got.setdefault(r.group, []).append(digest[bytes(r.digest)])
+    want = {}
+    for n in range(len(texts)):
+        want.setdefault(g.find(n), []).append(n)
+    assert sorted(map(sorted, got.values())) == sorted(v for v in want.values() if len(v) > 1)
+    pairs = made["across"][0]
+    assert pairs.count() == pairs.select("src", "dst").distinct().count()
+    assert made["candidates"][0].count() < len(texts) < made["near"][0].count()  # of each line the nearest first
+
+
 def test_line_dedup_finds_exact_repeats_of_short_lines(spark):
     rows = [(1, "All rights reserved."), (2, "all rights reserved"), (3, ""), (4, ""), (5, "all rights reversed")]
     assert [(r.doc_id, r.keep_doc_id) for r in line_dedup.repeated_lines(docs(spark, rows)).collect()] == [(2, 1)]
