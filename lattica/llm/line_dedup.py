@@ -366,7 +366,8 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("gone").alias("gone_lines"))
     own = docs.select(F.struct(*names).alias("row"))
-    joined = own.join(gone, F.col("row.doc_id") == F.col("of_doc"), "left")
+    # One plan at any size: a broadcast on small inputs only would make what is shuffled jump as inputs grow.
+    joined = own.join(gone.hint("merge"), F.col("row.doc_id") == F.col("of_doc"), "left")
     kept = F.array_join(
         F.filter(split_lines(F.col("row.text")), lambda line, i: ~F.array_contains("gone_lines", i)), "\n"
     )
